@@ -58,7 +58,7 @@ def text_slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYT
 
 def spaced(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts (null: empty), a space after each, and the start of each (one more at the end)."""
-    joined = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), "", " ")
+    joined = pc.binary_join_element_wise(pc.fill_null(texts, "").cast(pa.large_string()), *(pa.scalar(x, pa.large_string()) for x in ("", " ")))
     if isinstance(joined, pa.ChunkedArray):
         joined = joined.combine_chunks()
     off = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]

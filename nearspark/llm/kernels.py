@@ -34,9 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        n = max(n, 1 << 21)
         for k, b in enumerate((_BASE, _INV)):
-            run = np.full(n, b, np.uint64)
+            run = np.full(max(n, 1 << 21), b, np.uint64)
             run[0] = 1
             _powers[k] = np.cumprod(run)
     return _powers[0][:n], _powers[1][:n]
