@@ -45,6 +45,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def local(spark: SparkSession, schema: pa.Schema, rows: list[dict]) -> DataFrame:
+    """A small table that the driver holds, without a Python task."""
+    return spark.createDataFrame(pa.Table.from_pylist(rows, schema))
+
+
 def text_slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text each."""
     if batch.num_rows == 0:

@@ -9,9 +9,10 @@ the threshold is left out is spent the same way on documents small enough to fit
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stage
+from .common import local, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -21,6 +22,8 @@ MOST_SOURCES = 1_000_000
 #: A nested pass takes documents of at most this part of what remains.
 FITS = 4
 PASSES = 3
+_STATE = pa.schema([("s", pa.string()), ("budget", pa.float64()), ("b", pa.string()), ("below", pa.int64())])
+_PLAN = pa.schema([("__s", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("whole", pa.int32()), ("cuts", pa.list_(pa.struct([("fits", pa.int64()), ("cut", pa.string())])))])
 
 
 def n_words(text: Column) -> Column:
@@ -50,27 +53,30 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     return out
 
 
-def _thresholds(keys: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(s, threshold, spent): the hash up to which each source's sizes stay within its budget. budgets: (s, budget)."""
+def _thresholds(keys: DataFrame, budgets: dict[str, float]) -> dict[str, tuple[str, int]]:
+    """Per source the hash up to which its sizes stay within its budget, and what they come to.
 
-    def boundary(hist: DataFrame, by: str) -> DataFrame:
-        run = F.sum("size").over(Window.partitionBy("s").orderBy(by))
-        return hist.join(F.broadcast(budgets), "s").withColumn("__run", run).where("__run > budget and __run - size <= budget")
-
-    # first where it passes; rows of size 0 can't pass it
-    first = boundary(keys.groupBy("s", F.substring("key", 1, 3).alias("b")).agg(F.sum("size").alias("size")), "b").select("s", "b", (F.col("__run") - F.col("size")).alias("below"))
-    inside = keys.withColumn("b", F.substring("key", 1, 3)).join(F.broadcast(first), ["s", "b"])
-    fine = inside.groupBy("s", F.substring("key", 1, 6).alias("c")).agg(F.sum("size").alias("size"), F.first("below").alias("below"))
-    run = F.sum("size").over(Window.partitionBy("s").orderBy("c")) + F.col("below")
-    second = fine.withColumn("__run", run).join(F.broadcast(budgets), "s").where("__run > budget and __run - size <= budget").select("s", F.col("c").alias("b"), (F.col("__run") - F.col("size")).alias("below"))
-    last = keys.withColumn("b", F.substring("key", 1, 6)).join(F.broadcast(second), ["s", "b"])
-    last = last.groupBy("s", "b", "below", "key").agg(F.sum("size").alias("size"))
-    run = F.sum("size").over(Window.partitionBy("s").orderBy("key")) + F.col("below")
-    last = last.withColumn("__run", run).join(F.broadcast(budgets), "s")
-    return last.groupBy("s").agg(
-        F.coalesce(F.max(F.when(F.col("__run") <= F.col("budget"), F.col("key"))), F.first("b")).alias("threshold"),
-        F.coalesce(F.max(F.when(F.col("__run") <= F.col("budget"), F.col("__run"))), F.first("below")).alias("spent"),
-    )
+    A source that stays within its budget altogether is left out. The driver sees one row per source at each level.
+    """
+    spark, width = keys.sparkSession, 3
+    state = {s: (b, "", 0) for s, b in budgets.items()}  # budget, boundary bucket so far, size before it
+    done: dict[str, tuple[str, int]] = {}
+    while state:
+        level = local(spark, _STATE, [{"s": s, "budget": float(b), "b": c, "below": n} for s, (b, c, n) in state.items()])
+        inside = keys.withColumn("b", F.substring("key", 1, width - 3)).join(F.broadcast(level), ["s", "b"])
+        last = width > 6
+        fine = inside.groupBy("s", "budget", "below", (F.col("key") if last else F.substring("key", 1, width)).alias("c")).agg(F.sum("size").alias("size"))
+        run = F.sum("size").over(Window.partitionBy("s").orderBy("c")) + F.col("below")
+        fine = fine.withColumn("run", run)
+        if last:
+            fits = F.col("run") <= F.col("budget")
+            found = fine.where(fits).groupBy("s").agg(F.max("c").alias("c"), F.max("run").alias("run")).collect()
+            done = {s: (c, n) for s, (_, c, n) in state.items()} | {r.s: (r.c, r.run) for r in found}
+            return done
+        cut = fine.where("run > budget and run - size <= budget").select("s", "c", (F.col("run") - F.col("size")).alias("below")).collect()
+        state = {r.s: (budgets[r.s], r.c, r.below) for r in cut}
+        width += 3
+    return done
 
 
 class Plan:
@@ -91,26 +97,22 @@ class Plan:
             self.rows["n" if name is None else "s" + name] = {"source_size": sizes[name], "target": target, "whole": whole, "left": target - whole * sizes[name], "cuts": []}
         pool = self.keys
         for k in range(PASSES):
-            need = [(s, float(r["left"]), int(r["left"] // FITS) if k else 1 << 62) for s, r in self.rows.items() if r["left"] >= 1]
+            need = {s: int(r["left"] // FITS) if k else 1 << 62 for s, r in self.rows.items() if r["left"] >= 1}
             if not need:
                 break
-            budgets = self.spark.createDataFrame(need, "s string, budget double, fits long")
-            pool = pool.join(F.broadcast(budgets.select("s", "fits")), "s").where("size <= fits").drop("fits")
-            found = {r.s: r for r in _thresholds(pool, budgets.select("s", "budget")).collect()}
-            cuts = []
-            for s, _, fits in need:  # all that fit are within the budget where no threshold is found
-                cut = found[s].threshold if s in found else "g"
-                self.rows[s]["cuts"].append((fits, cut))
-                if s in found:
-                    self.rows[s]["left"] -= found[s].spent
-                else:
-                    self.rows[s]["left"] = 0.0
-                cuts.append((s, cut))
-            pool = pool.join(F.broadcast(self.spark.createDataFrame(cuts, "s string, cut string")), "s").where("key > cut").drop("cut")
+            limits = local(self.spark, pa.schema([("s", pa.string()), ("fits", pa.int64())]), [{"s": s, "fits": f} for s, f in need.items()])
+            fitting = pool.join(F.broadcast(limits), "s").where("size <= fits").drop("fits")
+            found = _thresholds(fitting, {s: self.rows[s]["left"] for s in need})
+            cuts = {}
+            for s, fits in need.items():  # all that fit are within the budget where no threshold is found
+                cuts[s], spent = found.get(s, ("g", self.rows[s]["left"]))
+                self.rows[s]["cuts"].append({"fits": fits, "cut": cuts[s]})
+                self.rows[s]["left"] -= spent
+            passed = local(self.spark, pa.schema([("s", pa.string()), ("cut", pa.string())]), [{"s": s, "cut": c} for s, c in cuts.items()])
+            pool = fitting.join(F.broadcast(passed), "s").where("key > cut").drop("cut")
 
     def _frame(self) -> DataFrame:
-        rows = [(s, int(r["source_size"]), float(r["target"]), r["whole"], [{"fits": f, "cut": c} for f, c in r["cuts"]]) for s, r in self.rows.items()]
-        return self.spark.createDataFrame(rows, "__s string, source_size long, target double, whole int, cuts array<struct<fits:long,cut:string>>")
+        return local(self.spark, _PLAN, [{"__s": s, "source_size": int(r["source_size"]), "target": float(r["target"]), "whole": r["whole"], "cuts": r["cuts"]} for s, r in self.rows.items()])
 
     def copies(self, df: DataFrame, s: Column, size: Column, key: Column) -> DataFrame:
         extra = F.exists("cuts", lambda c: (size <= c["fits"]) & (key <= c["cut"])).cast("int")
