@@ -105,6 +105,16 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return straight.unionByName(stays).unionByName(single)
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` without the rows that have one of ``ids`` (one column). Only rows that a Bloom table of the ids may hold are shuffled."""
+    gone = stage(ids.toDF("__id").where("__id is not null").distinct(), "without")
+    bits = bloom_bits(gone.count())
+    seen = might_contain(docs, F.col(f"`{id_col}`"), bloom(gone, F.col("__id"), bits), bits, "__maybe")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    checked = seen.where("__maybe").join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
+    return seen.where(~F.col("__maybe")).select(*columns).unionByName(checked.select(*columns))
+
+
 ORACLE_SQL = r"""
 WITH k AS (
   SELECT doc_id, coalesce(length(text), 0) AS n,

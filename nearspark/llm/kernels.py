@@ -82,8 +82,8 @@ def shingles(data: np.ndarray, off: np.ndarray, n: int = 5) -> tuple[np.ndarray,
         full[: len(w) - n + 1] = row[: len(w) - n + 1] == row[n - 1 :]
     h, r = mix(total[full]), row[full]
     if len(short := np.flatnonzero((count > 0) & (count < n))):
-        part = [U(int(count[i])) * _STEP[7] + (w[first[i] : first[i + 1]] * _STEP[: count[i]]).sum(dtype=np.uint64) for i in short]
-        h, r = np.concatenate([h, mix(np.array(part, np.uint64))]), np.concatenate([r, short])
+        part = np.array([(w[first[i] : first[i + 1]] * _STEP[: count[i]]).sum(dtype=np.uint64) for i in short], np.uint64)
+        h, r = np.concatenate([h, mix(part + count[short].astype(np.uint64) * _STEP[7])]), np.concatenate([r, short])
     order = np.lexsort((h, r))
     h, r = h[order], r[order]
     keep = np.ones(len(h), bool)

@@ -75,8 +75,7 @@ class Ftrl:
 
 def train(texts: list[str | None], labels: list[int], epochs: int = 3, **options) -> tuple[np.ndarray, np.ndarray, float]:
     """Features with a weight, ascending, their weights, and the bias. Fewer than two labels: the bias alone."""
-    # the L1 bound suits TRAIN_ROWS rows; fewer rows pull weights less far from zero
-    model = Ftrl(**{"l1": 4.0 * min(1.0, len(labels) / TRAIN_ROWS) ** 0.5} | options)
+    model = Ftrl(**options)
     docs = []
     for part in common.text_slices(pa.record_batch({"text": pa.array(texts, pa.large_string())})):
         data, off = common.spaced(part.column("text"))
