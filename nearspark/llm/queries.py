@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, dedup, html, jaccard, mixing, sharding, tokens, toxicity
+from . import ann, dedup, html, jaccard, language, mixing, pieces, sharding, tokens, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op5_label_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.propagate(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -46,5 +54,5 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_jaccard_join, op3_mix_sources, op4_toxicity, op5_label_shards, op7_html_extraction, op8_exact_dedup, op9_token_counts, op10_nearest_neighbours)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_jaccard_join, op3_mix_sources, op4_toxicity, op5_label_shards, op6_language, op7_html_extraction, op8_exact_dedup, op9_token_counts, op10_nearest_neighbours)}
 ORACLES = {"op2_jaccard_join": jaccard.ORACLE_SQL, "op3_mix_sources": mixing.ORACLE_SQL, "op8_exact_dedup": dedup.ORACLE_SQL}
