@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import common, dedup, kernels as K
-from .common import stage
+from .common import stage, unstage
 
 #: A shingle in more prefixes than this goes last in the global order.
 CROWD = 64
 #: Crowded shingles that are broadcast at most (8 bytes each); beyond that only the most crowded go last, which costs time, not links.
 MOST_CROWDED = 2_000_000
-PASSES = 3
-PIVOT_ROUNDS = 3
+PASSES = 2
+PIVOT_ROUNDS = 2
 NUM, DEN = 3, 4  # similarity of at least 75 / 100
 _LAST = np.uint64(1 << 62)
 
@@ -115,7 +115,11 @@ def _measure(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
 
     # an id that several texts have counts as linked by its nearest
     done = both.mapInArrow(run, "x long, y long, common long, total long")
-    return stage(done.groupBy("x", "y").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("j"), "common", "total")).alias("m")).select("x", "y", "m.common", "m.total"), "jaccard-measured")
+    out = stage(done.groupBy("x", "y").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("j"), "common", "total")).alias("m")).select("x", "y", "m.common", "m.total"), "jaccard-measured")
+    for t in (pairs, nodes, sets):
+        unstage(t)
+    _release(docs.sparkSession)
+    return out
 
 
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
@@ -157,11 +161,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     crowded = np.empty(0, np.uint64)
     rows = lists = None
     for k in range(PASSES):
+        if k:
+            unstage(rows)
         rows = stage(prefixes(own, crowded, n_words), "jaccard-prefixes")
         if k == 0:
             classes = stage(rows.where("n > 0 and id is not null").groupBy("n", "a", "b").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "jaccard-classes")
         points = _representatives(rows, classes)
-        lists = stage(points.select(F.explode("prefix").alias("h"), "id", "n").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.max("id").alias("other")).where("c > 1"), "jaccard-lists")
+        lists = stage(points.select(F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"), "jaccard-lists")
         if k == PASSES - 1:
             break
         found = lists.where((F.col("c") > crowd) & (F.col("h") < int(_LAST))).orderBy(F.desc("c"), "h").limit(MOST_CROWDED - len(crowded)).select("h").toArrow()
@@ -169,8 +175,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
             break
         crowded = np.sort(np.concatenate([crowded, found.column("h").to_numpy().astype(np.uint64)]))
         _release(spark)
-    posted = points.select(F.explode("prefix").alias("h"), F.col("id").alias("node"), "n", "last").join(lists.select("h", "pivot", "other"), "h")
-    posted = stage(posted, "jaccard-posted")
+    # only postings of shingles in two prefixes or more matter; a Bloom table turns most others away before the shuffle
+    bits = dedup.bloom_bits(lists.count())
+    posted = dedup.might_contain(points.select(F.explode("prefix").alias("h"), F.col("id").alias("node"), "n", "last"), F.col("h"), dedup.bloom(lists, F.col("h"), bits), bits, "__maybe")
+    posted = stage(posted.where("__maybe").drop("__maybe").join(lists.select("h"), "h", "left_semi"), "jaccard-shared")
+    pivots = posted.groupBy("h").agg(F.min("node").alias("pivot"))
+    posted = stage(posted.join(pivots, "h"), "jaccard-posted")
+    sized = stage(rows.select("id", "n", "a", "b"), "jaccard-sizes")
+    unstage(rows)
     _release(spark)
 
     measured, labels = None, None
@@ -187,7 +199,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
         if measured is not None:
             pairs = pairs.join(measured, ["x", "y"], "left_anti")
             pairs = _across(pairs, labels)
-        new = _measure(pairs, taking, n_words)
+        new = _measure(_possible(_overlap(pairs, posted)), taking, n_words)
         linked = new.where(F.col("common") * DEN >= F.col("total") * NUM)
         grew = linked.limit(1).count()
         measured = new if measured is None else stage(measured.unionByName(new), "jaccard-measured-all")
@@ -201,7 +213,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     links = measured.unionByName(rest).where(F.col("common") * DEN >= F.col("total") * NUM)
     if rest.where(F.col("common") * DEN >= F.col("total") * NUM).limit(1).count():
         labels = components(links)
-    member = rows.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
+    member = sized.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     out = member.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("label", "rep", "id")).alias("component_id"))
     # rows of one id with different texts: one document
     low = out.where("id is not null").groupBy("id").agg(F.min("component_id").alias("low"), F.count("*").alias("k")).where("k > 1")
@@ -239,12 +251,25 @@ def _left_over(posted: DataFrame, labels: DataFrame, measured: DataFrame) -> Dat
     b = inside.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("last").alias("wy"), F.col("label").alias("ly"), F.col("d").alias("dy"))
     window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 0.2500001, F.lit(True))
     near = a.join(b, "h").where("x < y and lx != ly and least(nx, ny) * 4 >= greatest(nx, ny) * 3").where(window)
-    counted = near.groupBy("x", "y", "nx", "ny", "wx", "wy").agg(F.count("*").alias("c"))
-    # beyond the end of the prefix that ends first, no more can be common than that set has left
+    return _possible(near).join(measured, ["x", "y"], "left_anti")
+
+
+def _possible(shared: DataFrame) -> DataFrame:
+    """Pairs (x, y) with as many common prefix shingles as the threshold demands. shared: a row per pair and shingle.
+
+    Beyond the end of the prefix that ends first, no more can be common than that set has left.
+    """
+    counted = shared.groupBy("x", "y", "nx", "ny", "wx", "wy").agg(F.count("*").alias("c"))
     z = F.when(F.col("wx") <= F.col("wy"), F.col("nx")).otherwise(F.col("ny"))
     need = F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
-    kept = counted.where(F.col("c") >= need - (z - (z - F.ceil(z * NUM / DEN) + 1)))
-    return kept.select("x", "y").distinct().join(measured, ["x", "y"], "left_anti")
+    return counted.where(F.col("c") >= need - (F.ceil(z * NUM / DEN) - 1)).select("x", "y").distinct()
+
+
+def _overlap(pairs: DataFrame, posted: DataFrame) -> DataFrame:
+    """The rows that _possible takes, for given pairs."""
+    one = posted.select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("last").alias("wx")).join(pairs, "x")
+    two = posted.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("last").alias("wy"))
+    return one.join(two, ["y", "h"])
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
