@@ -93,26 +93,28 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "dedup-decide",
     )
     bits = bloom_bits(decide.count())
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
-    table = bloom(decide, F.coalesce(F.col("__id").cast("string"), F.lit("")), bits)
-    seen = might_contain(docs, key, table, bits, "__maybe")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    straight = seen.where(~F.col("__maybe")).select(*columns)
-    hashed = seen.where("__maybe").withColumn("__own", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    joined = hashed.join(decide, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left")
-    stays = joined.where("__stay is null").select(*columns)
-    single = joined.where("__stay").dropDuplicates([id_col, "__own"]).select(*columns)
+    # the documents' own columns travel in one struct, so that their names can't clash with ours
+    rows = docs.select(as_row(docs), docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("key"))
+    seen = might_contain(rows, F.col("key"), bloom(decide, F.coalesce(F.col("__id").cast("string"), F.lit("")), bits), bits, "maybe")
+    straight = seen.where(~F.col("maybe")).select("row.*")
+    hashed = seen.where("maybe").select("row", "id", F.sha2(normalised(F.col("text")), 256).alias("own"))
+    joined = hashed.join(decide, F.col("id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__sha")), "left")
+    stays = joined.where("__stay is null").select("row.*")
+    single = joined.where("__stay").dropDuplicates(["id", "own"]).select("row.*")
     return straight.unionByName(stays).unionByName(single)
 
 
+def as_row(df: DataFrame) -> Column:
+    return F.struct(*[df[f"`{c}`"].alias(c) for c in df.columns]).alias("row")
+
+
 def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows that have one of ``ids`` (one column). Only rows that a Bloom table of the ids may hold are shuffled."""
     gone = stage(ids.toDF("__id").where("__id is not null").distinct(), "without")
     bits = bloom_bits(gone.count())
-    seen = might_contain(docs, F.col(f"`{id_col}`"), bloom(gone, F.col("__id"), bits), bits, "__maybe")
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    checked = seen.where("__maybe").join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
-    return seen.where(~F.col("__maybe")).select(*columns).unionByName(checked.select(*columns))
+    seen = might_contain(docs.select(as_row(docs), docs[id_col].alias("id")), F.col("id"), bloom(gone, F.col("__id"), bits), bits, "maybe")
+    checked = seen.where("maybe").join(gone, F.col("id") == F.col("__id"), "left_anti")
+    return seen.where(~F.col("maybe")).select("row.*").unionByName(checked.select("row.*"))
 
 
 ORACLE_SQL = r"""

@@ -109,6 +109,8 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.2
     Sequences are put together from stretches of different texts, so that transitions between languages are learnt as well.
     """
     labels = sorted(set(langs))
+    if not labels:
+        return Crf([], np.empty(0, np.uint64), np.empty(0, np.int32))
     words = Words(pa.array(texts, pa.large_string()))
     count = np.diff(words.first)
     y = np.repeat(np.array([labels.index(x) for x in langs], np.int64), count)

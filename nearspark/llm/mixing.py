@@ -12,6 +12,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from . import dedup
 from .common import local, stage
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -125,11 +126,11 @@ class Plan:
 
     def mixed(self, docs: DataFrame) -> DataFrame:
         """``docs`` as the mix takes them: rows left out or repeated. No text is shuffled."""
-        i, t, src = (F.col(f"`{c}`") for c in self.cols)
-        s = F.coalesce(F.concat(F.lit("s"), src), F.lit("n"))
-        out = self.copies(docs.withColumns({"__size": n_words(t), "__key": _key(i), "__src": s}), F.col("__src"), F.col("__size"), F.col("__key"))
-        repeat = F.explode(F.expr("array_repeat(0, __copies)")).alias("__repeat")
-        return out.select(*[F.col(f"`{c}`") for c in docs.columns], repeat).drop("__repeat")
+        i, t, src = self.cols
+        s = F.coalesce(F.concat(F.lit("s"), docs[src]), F.lit("n"))
+        rows = docs.select(dedup.as_row(docs), s.alias("__src"), n_words(docs[t]).alias("size"), _key(docs[i]).alias("key"))
+        out = self.copies(rows, F.col("__src"), F.col("size"), F.col("key"))
+        return out.select("row", F.explode(F.expr("array_repeat(0, __copies)")).alias("repeat")).select("row.*")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
