@@ -11,10 +11,12 @@ shingle are overlapping regions of the space that together hold every close pair
   pivot (the recursion), as long as pivots still link something.
 * What is left is joined inside the regions: only pairs of different components, of
   compatible sizes, within the triangle-inequality window of their distances to the
-  region's pivots, and with as many common prefix shingles as the threshold demands.
+  region's pivots, with parity masks no further apart than the threshold allows (each
+  shingle that only one set has changes one bit at most), and with as many common prefix
+  shingles as the threshold demands.
 
 No pair within the threshold can be missed: a pair is left out only by a proof (sizes,
-windows, prefix overlap) or because its points are connected already.
+windows, masks, prefix overlap) or because its points are connected already.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import common, dedup, kernels as K
 from .common import stage, unstage
@@ -37,6 +39,9 @@ PASSES = 2
 PIVOT_ROUNDS = 2
 NUM, DEN = 3, 4  # similarity of at least 75 / 100
 _LAST = np.uint64(1 << 62)
+#: 64-bit words of a set's parity mask. Masks tell sets of up to about 900 shingles apart; longer sets are left to the other proofs.
+MASK = 4
+MASKS = [f"m{k}" for k in range(MASK)]
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -57,15 +62,29 @@ def _ranked(h: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     return np.sort(rank)
 
 
+def _masks(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Per row MASK words: bit b tells whether an odd number of its shingles has the low bits b."""
+    bits = 64 * MASK
+    odd = np.bincount(row * bits + (h % np.uint64(bits)).astype(np.int64), minlength=rows * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1).view(np.int64)
+
+
+def _alike(nx: str, ny: str, one: str, two: str) -> Column:
+    """Whether masks allow a link: sets that are linked differ in no more shingles than sizes and threshold leave."""
+    total = F.col(nx) + F.col(ny)
+    differ = sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(MASK)), F.lit(0))
+    return differ <= total - 2 * F.ceil(total * NUM / (NUM + DEN))
+
+
 def prefixes(docs: DataFrame, crowded: np.ndarray, n_words: int) -> DataFrame:
-    """id, n (set size), a, b (128 bits of the set), last (place of the last prefix shingle), prefix."""
+    """id, n (set size), a, b (128 bits of the set), last (place of the last prefix shingle), m0.. (parity mask), prefix."""
     held = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd = held.value
         for batch in batches:
             for part in common.text_slices(batch):
-                h, _, first = K.shingles(*common.spaced(part.column("text")), n_words)
+                h, row, first = K.shingles(*common.spaced(part.column("text")), n_words)
                 n = np.diff(first)
                 one, two = (np.concatenate([[0], np.cumsum(x, dtype=np.uint64)]).astype(np.uint64) for x in (h, K.mix(h ^ np.uint64(0x5851F42D4C957F2D))))
                 a, b = (x[first[1:]] - x[first[:-1]] for x in (one, two))
@@ -74,9 +93,11 @@ def prefixes(docs: DataFrame, crowded: np.ndarray, n_words: int) -> DataFrame:
                 flat = np.concatenate(cut) if cut else np.empty(0, np.uint64)
                 off = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n.astype(np.int64)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(last.view(np.int64)), lists], ["id", "n", "a", "b", "last", "prefix"])
+                masks = _masks(h, row, len(n))
+                longs = [n.astype(np.int64), *(x.view(np.int64) for x in (a, b, last)), *(np.ascontiguousarray(masks[:, k]) for k in range(MASK))]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, longs), lists], ["id", "n", "a", "b", "last", *MASKS, "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, last long, prefix array<long>")
+    return docs.mapInArrow(run, f"id long, n long, a long, b long, last long, {', '.join(f'{c} long' for c in MASKS)}, prefix array<long>")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
@@ -182,6 +203,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     pivots = posted.groupBy("h").agg(F.min("node").alias("pivot"))
     posted = stage(posted.join(pivots, "h"), "jaccard-posted")
     sized = stage(rows.select("id", "n", "a", "b"), "jaccard-sizes")
+    masks = stage(points.select(F.col("id").alias("node"), F.col("n").alias("m"), *MASKS), "jaccard-masks")
     unstage(rows)
     _release(spark)
 
@@ -199,7 +221,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
         if measured is not None:
             pairs = pairs.join(measured, ["x", "y"], "left_anti")
             pairs = _across(pairs, labels)
-        new = _measure(_possible(_overlap(pairs, posted)), taking, n_words)
+        new = _measure(_possible(_overlap(_unlike_left_out(pairs, masks), posted)), taking, n_words)
         linked = new.where(F.col("common") * DEN >= F.col("total") * NUM)
         grew = linked.limit(1).count()
         measured = new if measured is None else stage(measured.unionByName(new), "jaccard-measured-all")
@@ -209,7 +231,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
         if not grew:
             break
 
-    rest = _measure(_left_over(active, labels, measured), taking, n_words)
+    rest = _measure(_left_over(active, labels, measured, masks), taking, n_words)
     links = measured.unionByName(rest).where(F.col("common") * DEN >= F.col("total") * NUM)
     if rest.where(F.col("common") * DEN >= F.col("total") * NUM).limit(1).count():
         labels = components(links)
@@ -240,17 +262,21 @@ def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return pairs.join(one, "x", "left").join(two, "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
 
 
-def _left_over(posted: DataFrame, labels: DataFrame, measured: DataFrame) -> DataFrame:
+def _left_over(posted: DataFrame, labels: DataFrame, measured: DataFrame, masks: DataFrame) -> DataFrame:
     """Pairs of different components in a region that no proof keeps apart."""
     tagged = _tagged(posted, labels)
     several = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
     both = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "common", "total").union(measured.select("y", "x", "common", "total"))
     far = both.select("node", "pivot", (1 - F.col("common") / F.col("total")).alias("d"))
-    inside = stage(tagged.join(several, "h", "left_semi").join(far, ["node", "pivot"], "left"), "jaccard-inside")
-    a = inside.select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("last").alias("wx"), F.col("label").alias("lx"), F.col("d").alias("dx"))
-    b = inside.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("last").alias("wy"), F.col("label").alias("ly"), F.col("d").alias("dy"))
+    # an id that several texts have meets each of its masks that fits in size
+    inside = tagged.join(several, "h", "left_semi").join(masks.withColumnRenamed("m", "n"), ["node", "n"])
+    inside = stage(inside.join(far, ["node", "pivot"], "left"), "jaccard-inside")
+    a, b = (
+        inside.select("h", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("last").alias(f"w{k}"), F.col("label").alias(f"l{k}"), F.col("d").alias(f"d{k}"), *[F.col(c).alias(f"{k}{c}") for c in MASKS])
+        for k in "xy"
+    )
     window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 0.2500001, F.lit(True))
-    near = a.join(b, "h").where("x < y and lx != ly and least(nx, ny) * 4 >= greatest(nx, ny) * 3").where(window)
+    near = a.join(b, "h").where("x < y and lx != ly and least(nx, ny) * 4 >= greatest(nx, ny) * 3").where(_alike("nx", "ny", "xm", "ym")).where(window)
     return _possible(near).join(measured, ["x", "y"], "left_anti")
 
 
@@ -265,6 +291,11 @@ def _possible(shared: DataFrame) -> DataFrame:
     return counted.where(F.col("c") >= need - (F.ceil(z * NUM / DEN) - 1)).select("x", "y").distinct()
 
 
+def _unlike_left_out(pairs: DataFrame, masks: DataFrame) -> DataFrame:
+    one, two = (masks.toDF(k, f"n{k}", *[f"{k}{c}" for c in MASKS]) for k in "xy")
+    return pairs.join(one, "x").join(two, "y").where(_alike("nx", "ny", "xm", "ym")).select("x", "y").distinct()
+
+
 def _overlap(pairs: DataFrame, posted: DataFrame) -> DataFrame:
     """The rows that _possible takes, for given pairs."""
     one = posted.select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("last").alias("wx")).join(pairs, "x")
