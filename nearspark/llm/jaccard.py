@@ -5,6 +5,7 @@ are put in one global order (by hash, those in many prefixes last); two points w
 distance 1 - t share a shingle of their prefixes in that order, so the lists of a prefix
 shingle are overlapping regions of the space that together hold every close pair.
 
+* Regions with the same points count as one, which weighs as many shingles as it stands for.
 * Each region has a pivot. Distances to it are measured exactly; points within reach of
   the pivot are linked through it and need no comparison with each other.
 * Regions that still hold points of several components are entered again with another
@@ -198,10 +199,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
         _release(spark)
     # only postings of shingles in two prefixes or more matter; a Bloom table turns most others away before the shuffle
     bits = dedup.bloom_bits(lists.count())
-    posted = dedup.might_contain(points.select(F.explode("prefix").alias("h"), F.col("id").alias("node"), "n", "last"), F.col("h"), dedup.bloom(lists, F.col("h"), bits), bits, "__maybe")
+    posted = dedup.might_contain(points.select(F.explode("prefix").alias("h"), F.col("id").alias("node"), "n", "last", "a"), F.col("h"), dedup.bloom(lists, F.col("h"), bits), bits, "__maybe")
     posted = stage(posted.where("__maybe").drop("__maybe").join(lists.select("h"), "h", "left_semi"), "jaccard-shared")
-    pivots = posted.groupBy("h").agg(F.min("node").alias("pivot"))
-    posted = stage(posted.join(pivots, "h"), "jaccard-posted")
+    # a point occurs once in a region, so that no two of the same hashes cancel out
+    signs = [F.bit_xor(F.xxhash64("node", "a", F.lit(k))).alias(f"s{k}") for k in range(2)]
+    regions = posted.groupBy("h").agg(*signs, F.count("*").alias("c"), F.min("node").alias("pivot"))
+    regions = regions.groupBy("s0", "s1", "c").agg(F.min("h").alias("h"), F.count("*").alias("w"), F.min("pivot").alias("pivot"))
+    posted = stage(posted.drop("a").join(regions.select("h", "w", "pivot"), "h"), "jaccard-posted")
     sized = stage(rows.select("id", "n", "a", "b"), "jaccard-sizes")
     masks = stage(points.select(F.col("id").alias("node"), F.col("n").alias("m"), *MASKS), "jaccard-masks")
     unstage(rows)
@@ -272,20 +276,20 @@ def _left_over(posted: DataFrame, labels: DataFrame, measured: DataFrame, masks:
     inside = tagged.join(several, "h", "left_semi").join(masks.withColumnRenamed("m", "n"), ["node", "n"])
     inside = stage(inside.join(far, ["node", "pivot"], "left"), "jaccard-inside")
     a, b = (
-        inside.select("h", F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("last").alias(f"w{k}"), F.col("label").alias(f"l{k}"), F.col("d").alias(f"d{k}"), *[F.col(c).alias(f"{k}{c}") for c in MASKS])
+        inside.select("h", F.col("w").alias(f"weigh{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("last").alias(f"w{k}"), F.col("label").alias(f"l{k}"), F.col("d").alias(f"d{k}"), *[F.col(c).alias(f"{k}{c}") for c in MASKS])
         for k in "xy"
     )
     window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 0.2500001, F.lit(True))
-    near = a.join(b, "h").where("x < y and lx != ly and least(nx, ny) * 4 >= greatest(nx, ny) * 3").where(_alike("nx", "ny", "xm", "ym")).where(window)
+    near = a.withColumnRenamed("weighx", "w").join(b.drop("weighy"), "h").where("x < y and lx != ly and least(nx, ny) * 4 >= greatest(nx, ny) * 3").where(_alike("nx", "ny", "xm", "ym")).where(window)
     return _possible(near).join(measured, ["x", "y"], "left_anti")
 
 
 def _possible(shared: DataFrame) -> DataFrame:
-    """Pairs (x, y) with as many common prefix shingles as the threshold demands. shared: a row per pair and shingle.
+    """Pairs (x, y) with as many common prefix shingles as the threshold demands. shared: a row per pair and region, with the region's weight.
 
     Beyond the end of the prefix that ends first, no more can be common than that set has left.
     """
-    counted = shared.groupBy("x", "y", "nx", "ny", "wx", "wy").agg(F.count("*").alias("c"))
+    counted = shared.groupBy("x", "y", "nx", "ny", "wx", "wy").agg(F.sum("w").alias("c"))
     z = F.when(F.col("wx") <= F.col("wy"), F.col("nx")).otherwise(F.col("ny"))
     need = F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
     return counted.where(F.col("c") >= need - (F.ceil(z * NUM / DEN) - 1)).select("x", "y").distinct()
@@ -298,7 +302,7 @@ def _unlike_left_out(pairs: DataFrame, masks: DataFrame) -> DataFrame:
 
 def _overlap(pairs: DataFrame, posted: DataFrame) -> DataFrame:
     """The rows that _possible takes, for given pairs."""
-    one = posted.select("h", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("last").alias("wx")).join(pairs, "x")
+    one = posted.select("h", "w", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("last").alias("wx")).join(pairs, "x")
     two = posted.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("last").alias("wy"))
     return one.join(two, ["y", "h"])
 
