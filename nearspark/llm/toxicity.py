@@ -49,9 +49,9 @@ def _distinct(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Ftrl:
     """FTRL-proximal with per-coordinate rates and L1 sparsity; features are present or not."""
 
-    def __init__(self, alpha: float = 0.6, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 0.6, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        self.z, self.n = np.zeros(size), np.zeros(size)
         self.z0 = self.n0 = 0.0
 
     def _weights(self, at: np.ndarray) -> np.ndarray:
@@ -73,24 +73,38 @@ class Ftrl:
         self.n0 += g * g
 
 
-def train(texts: list[str | None], labels: list[int], epochs: int = 3, **options) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features with a weight, ascending, their weights, and the bias. Fewer than two labels: the bias alone."""
-    model = Ftrl(**options)
-    docs = []
-    for part in common.text_slices(pa.record_batch({"text": pa.array(texts, pa.large_string())})):
-        data, off = common.spaced(part.column("text"))
-        row, at = _distinct(*features(data, off))
-        docs += [a.astype(np.int32) for a in np.split(at, np.searchsorted(row, np.arange(1, part.num_rows)))]
+def _bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Slice by slice: distinct (row, feature) pairs and the number of rows."""
+    for part in common.text_slices(pa.record_batch({"text": texts})):
+        yield *_distinct(*features(*common.spaced(part.column("text")))), part.num_rows
+
+
+def train(texts: pa.Array, labels: list[int], epochs: int = 3, **options) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features with a weight, ascending, their weights, and the bias. Fewer than two labels: the bias alone.
+
+    Texts are gone through twice, so that the driver never holds features without enough support.
+    """
     support = np.zeros(1 << BITS, np.int32)
-    for d in docs:
-        support[d] += 1
-    docs = [d[support[d] >= SUPPORT] for d in docs]
+    for _, at, _ in _bags(texts):
+        seen, count = np.unique(at, return_counts=True)
+        support[seen] += count.astype(np.int32)
+    known = np.flatnonzero(support >= SUPPORT)
+    place = np.full(1 << BITS, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    del support
+    docs = []
+    for row, at, rows in _bags(texts):
+        at = place[at]
+        row, at = row[at >= 0], at[at >= 0]
+        docs += np.split(at, np.searchsorted(row, np.arange(1, rows)))
+    del place
+    model = Ftrl(len(known), **options)
     order = np.random.default_rng(7)
     for _ in range(epochs):
         for i in order.permutation(len(docs)).tolist():
             model.learn(docs[i], int(labels[i]))
     kept = np.flatnonzero(np.abs(model.z) > model.l1)
-    return kept, model._weights(kept).astype(np.float32), model.bias()
+    return known[kept], model._weights(kept).astype(np.float32), model.bias()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
@@ -106,7 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = text.join(F.broadcast(known), "id").select("id", "label", "text").toArrow().sort_by("id")  # at most ``rows`` ids are broadcast
     size = np.cumsum(pa.compute.binary_length(got.column("text")).to_numpy())
     got = got.slice(0, int(np.searchsorted(size, TRAIN_BYTES, side="right")))
-    return train(got.column("text").to_pylist(), got.column("label").to_pylist())
+    texts, known = got.column("text"), got.column("label").to_pylist()
+    del got, size
+    return train(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0), known)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
