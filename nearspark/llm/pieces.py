@@ -108,6 +108,7 @@ class Model:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.byte_at = {i: b for b, i in self.byte.items()}
         self.control = {i for i, p in enumerate(m.pieces) if p.type == 3}
+        self.bytes_at = [bytes([self.byte_at[i]]) if i in self.byte_at else b"" if i in self.control else p.encode() for i, p in enumerate(self.pieces)]
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
         self.longest = max(map(len, self.ids))
         self.known = {p for p in self.ids if len(p) == 1}
@@ -222,10 +223,7 @@ class Model:
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: byte pieces as UTF-8 (what isn't, as U+FFFD for each byte), without the mark added in front."""
-        out = bytearray()
-        for i in ids:
-            out += bytes([self.byte_at[i]]) if i in self.byte_at else b"" if i in self.control else self.pieces[i].encode()
-        text = out.decode(errors="replace").replace(SPACE, " ")
+        text = b"".join(map(self.bytes_at.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text[:1] == " " else text
 
 
