@@ -25,11 +25,13 @@ from . import common
 
 SPACE = "▁"
 #: Segments and neighbour pairs that a worker remembers; when full, the memory starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 PAIRS = 2_000_000
 #: Longer stretches are searched by the streaming class.
 WINDOW = 64
 BPE, UNIGRAM = 2, 1
+#: A word and the marks after it.
+TAIL = re.compile(r"(.*\w)(\W+)")
 
 
 class Viterbi:
@@ -89,6 +91,25 @@ class Viterbi:
         return self._trace(len(self.text))
 
 
+class Memory(dict):
+    """Ids of the stretches met so far; those longer than the window aren't kept."""
+
+    def __init__(self, model: Model):
+        self.model = model
+
+    def __missing__(self, text: str) -> list[int]:
+        tail = TAIL.fullmatch(text)
+        if tail and text[tail.end(1) - 1 : tail.end(1) + 1] not in self.model.joints:  # no piece holds both characters, so every path stops between them
+            got = self[tail[1]] + self[tail[2]]
+        else:
+            got = self.model.segment(text)
+        if len(text) <= WINDOW:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[text] = got
+        return got
+
+
 class Model:
     """A SentencePiece model file with identity normalisation, of type BPE or unigram."""
 
@@ -121,6 +142,7 @@ class Model:
             self.cut = None
         else:
             self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not any("\n" in p for p in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.joints = {p[i : i + 2] for p in self._all for i in range(len(p) - 1)}
         self.trie: dict = {}
         for piece, i in self.ids.items():
             node = self.trie
@@ -128,7 +150,7 @@ class Model:
                 node = node.setdefault(c, {})
             node[0] = i
         self.pairs: dict[int, bool] = {}
-        self.memory: dict[str, list[int]] = {}
+        self.memory = Memory(self)
 
     def merge(self, text: str) -> list[str]:
         """The merge rules applied directly: the best-scored pair of neighbours first, the leftmost of equals."""
@@ -197,29 +219,17 @@ class Model:
 
     def segment(self, text: str) -> list[int]:
         """Ids of a stretch that shares its ends with every path."""
-        got = self.memory.get(text)
-        if got is None:
-            short = len(text) <= WINDOW
-            if short and self.kind == BPE:
-                got = self._short(text)
-            else:
-                search = Viterbi(self)
-                got = search.push(text) + search.finish()
-            if short:
-                if len(self.memory) > REMEMBERED:
-                    self.memory.clear()
-                self.memory[text] = got
-        return got
+        if len(text) <= WINDOW and self.kind == BPE:
+            return self._short(text)
+        search = Viterbi(self)
+        return search.push(text) + search.finish()
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         text = text.replace(" ", SPACE)
         text = SPACE + text if self.prefix else text
-        out: list[int] = []
-        for s in [text] if self.cut is None else self.cut.findall(text):
-            out += self.segment(s)
-        return out
+        return self.segment(text) if self.cut is None else list(chain.from_iterable(map(self.memory.__getitem__, self.cut.findall(text))))
 
     def decode(self, ids: list[int]) -> str:
         """The text of the ids: byte pieces as UTF-8 (what isn't, as U+FFFD for each byte), without the mark added in front."""
@@ -250,13 +260,16 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         for batch in batches:
             for part in common.text_slices(batch, text_col):
                 found = [own.encode(t) for t in part.column(text_col).to_pylist()]
-                off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = np.fromiter(chain.from_iterable(found), np.int32, int(off[-1]))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], [*columns, ids_col])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists(found)], [*columns, ids_col])
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
+def _lists(found: list[list[int]]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(off[-1]))))
+
+
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of every array of ids (null ids: an empty text)."""
     columns = [c for c in df.columns if c != text_col]
@@ -274,8 +287,20 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "deco
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids, n_ids and exact: whether decoding gives the text back (a text's own U+2581 counted as a space)."""
-    coded = encode(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), path)
-    back = decode(coded, path)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return back.select(F.col("id").alias(id_col), "ids", F.size("ids").alias("n_ids"), same.alias("exact"))
+    """id, ids, n_ids and exact: whether decoding gives the text back (a text's own U+2581 counted as a space).
+
+    Each text is encoded and its ids decoded in one pass over its Arrow batch. Null and
+    empty texts have no ids and are exact.
+    """
+    rest = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model(path)
+        for batch in batches:
+            for part in common.text_slices(batch):
+                texts = part.column("text").to_pylist()
+                found = [own.encode(t) for t in texts]
+                exact = [own.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(found, texts)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(found), pa.array(map(len, found), pa.int32()), pa.array(exact, pa.bool_())], ["id", "ids", "n_ids", "exact"])
+
+    return rest.mapInArrow(run, f"id {rest.schema['id'].dataType.simpleString()}, ids array<int>, n_ids int, exact boolean").withColumnRenamed("id", id_col)
