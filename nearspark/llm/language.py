@@ -23,6 +23,8 @@ TRAIN_ROWS = 4000
 TRAIN_BYTES = 8_000_000
 #: Words of a training sequence, and of the stretch it takes from one document.
 LENGTH, STRETCH = 96, 24
+#: Words of a block; long texts are gone through block by block side by side, with the exact messages between blocks.
+BLOCK = 128
 UNKNOWN = "und"
 HELD_OUT = 2
 
@@ -77,24 +79,31 @@ class Crf:
 
     def posteriors(self, emission: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Label probabilities of every word; ``first`` has the first word of each text, and one more."""
-        size = np.diff(first)
-        order = np.argsort(-size, kind="stable")
-        size, begin = size[order], first[:-1][order]
+        n, count = len(self.labels), np.diff(first)
+        blocks = -(-count // BLOCK)
+        text = np.repeat(np.arange(len(count)), blocks)
+        begin = first[text] + (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * BLOCK
+        size = np.minimum(first[text + 1] - begin, BLOCK)
         p = np.exp(emission - emission.max(axis=1, keepdims=True)) if len(emission) else emission
         go, out = np.exp(self.step - self.step.max()), np.empty_like(p)
-        longest = int(size[0]) if len(size) else 0
-        active = np.searchsorted(-size, -np.arange(longest), side="left")  # texts longer than each position
+        # messages into each block from before and from behind
+        enter, leave = np.tile(np.exp(self.begin - self.begin.max()), (len(text), 1)), np.ones((len(text), n))
+        if (blocks > 1).any():
+            self._carry(p, go, blocks, begin, size, enter, leave)
+        order = np.argsort(-size, kind="stable")
+        size, begin, enter, leave = size[order], begin[order], enter[order], leave[order]
+        longest, active = _active(size)
         state = None
         for t in range(longest):
             own = p[begin[: active[t]] + t]
-            state = own * np.exp(self.begin - self.begin.max()) if t == 0 else (state[: active[t]] @ go) * own
+            state = own * (enter[: active[t]] if t == 0 else state[: active[t]] @ go)
             state /= state.sum(axis=1, keepdims=True)
             out[begin[: active[t]] + t] = state
-        back = np.ones((0, p.shape[1]), p.dtype)
+        back = leave[:0]
         for t in range(longest - 1, -1, -1):
-            k = active[t]
-            new = np.ones((k, p.shape[1]), p.dtype)
-            if t + 1 < longest and (m := active[t + 1]):
+            k, m = active[t], len(back)
+            new = leave[:k].copy()
+            if m:
                 new[:m] = (back * p[begin[:m] + t + 1]) @ go.T
                 new[:m] /= new[:m].sum(axis=1, keepdims=True)
             both = out[begin[:k] + t] * new
@@ -102,6 +111,37 @@ class Crf:
             back = new
         return out
 
+    def _carry(self, p: np.ndarray, go: np.ndarray, blocks: np.ndarray, begin: np.ndarray, size: np.ndarray, enter: np.ndarray, leave: np.ndarray) -> None:
+        """Fill in the messages between the blocks of texts that have several: each block acts on them as one small matrix."""
+        n = len(go)
+        base, count = (np.cumsum(blocks) - blocks)[blocks > 1], blocks[blocks > 1]
+        at = np.flatnonzero(np.repeat(blocks > 1, blocks))
+        at = at[np.argsort(-size[at], kind="stable")]
+        longest, active = _active(size[at])
+        whole = np.empty((len(size), n, n))
+        m = np.tile(np.eye(n), (len(at), 1, 1))
+        for t in range(longest):
+            k = active[t]
+            m[:k] = (m[:k] if t == 0 else (m[:k].reshape(-1, n) @ go).reshape(-1, n, n)) * p[begin[at[:k]] + t][:, None]
+            m[:k] /= m[:k].sum(axis=(1, 2), keepdims=True)
+        whole[at] = m
+        base = base[np.argsort(-count, kind="stable")]
+        most, active = _active(np.sort(count)[::-1])
+        for j in range(1, most):
+            b = base[: active[j]] + j
+            f = np.einsum("ki,kij->kj", enter[b - 1], whole[b - 1]) @ go
+            enter[b] = f / f.sum(axis=1, keepdims=True)
+        for j in range(most - 1, 0, -1):
+            b = base[: active[j]] + j
+            r = np.einsum("kij,kj->ki", whole[b], leave[b]) @ go.T
+            leave[b - 1] = r / r.sum(axis=1, keepdims=True)
+
+
+def _active(size: np.ndarray) -> tuple[int, np.ndarray]:
+    """Of descending sizes: the largest, and how many are longer than each position."""
+    longest = int(size[0]) if len(size) else 0
+    return longest, np.searchsorted(-size, -np.arange(longest), side="left")
+
 
 def train(texts: list[str], langs: list[str], epochs: int = 4, rate: float = 0.25, seed: int = 5) -> Crf:
     """Learn from whole texts with one language each.

@@ -229,3 +229,23 @@ def test_nearest_neighbours(spark):
         n += 10
     assert hits / n >= 0.9 and not {r.query_id for r in got} & {2000, 2100, 2200, 2300, 2400}
     assert ann.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_language_blocks_give_plain_forward_backward():
+    rng = np.random.default_rng(3)
+    crf = language.Crf(["a", "b", "c"], np.empty(0, np.uint64), np.empty(0, np.int32))
+    crf.step[:], crf.begin[:] = rng.normal(size=(3, 3)), rng.normal(size=3)
+    sizes = [0, 1, language.BLOCK, 3 * language.BLOCK + 5, 0, language.BLOCK + 1, 7]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    emission = rng.normal(size=(first[-1], 3)) * 3
+    got = crf.posteriors(emission, first)
+    for lo, hi in zip(first[:-1], first[1:]):
+        p, go = np.exp(emission[lo:hi]), np.exp(crf.step)
+        f, r = p.copy(), np.ones_like(p)
+        for t in range(hi - lo):
+            f[t] *= np.exp(crf.begin) if t == 0 else f[t - 1] @ go
+            f[t] /= f[t].sum()
+        for t in range(hi - lo - 2, -1, -1):
+            r[t] = go @ (p[t + 1] * r[t + 1])
+            r[t] /= r[t].sum()
+        assert np.allclose(got[lo:hi], f * r / (f * r).sum(axis=1, keepdims=True), atol=1e-9)
