@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -57,6 +59,15 @@ def local(spark: SparkSession, schema: pa.Schema, rows: list[dict]) -> DataFrame
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema))
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where its C library can: workers that wait between tasks otherwise keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give is not None:
+        give(0)
+
+
 def text_slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text each."""
     if batch.num_rows == 0:

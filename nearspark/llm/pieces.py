@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from . import common
 
 SPACE = "▁"
-#: Segments and neighbour pairs that a worker remembers; when full, the memory starts anew.
-REMEMBERED = 800_000
+#: Stretches that a generation of a worker's memory holds, for one task, and neighbour pairs that a worker keeps.
+REMEMBERED = 250_000
 PAIRS = 2_000_000
 #: Longer stretches are searched by the streaming class.
 WINDOW = 64
@@ -92,23 +92,30 @@ class Viterbi:
 
 
 class Memory(dict):
-    """Ids of the stretches met so far; those longer than the window aren't kept."""
+    """Ids of the stretches met lately, in two generations; those longer than the window aren't kept."""
 
     def __init__(self, model: Model):
-        self.model = model
+        self.model, self.old = model, {}
 
     def __missing__(self, text: str) -> list[int]:
-        tail = TAIL.fullmatch(text)
-        if tail and text[tail.end(1) - 1 : tail.end(1) + 1] not in self.model.joints:  # no piece holds both characters, so every path stops between them
-            got = self[tail[1]] + self[tail[2]]
-        else:
-            got = self.model.segment(text)
+        got = self.old.get(text)
+        if got is None:
+            tail = TAIL.fullmatch(text)
+            if tail and text[tail.end(1) - 1 : tail.end(1) + 1] not in self.model.joints:  # no piece holds both characters, so every path stops between them
+                got = self[tail[1]] + self[tail[2]]
+            else:
+                got = self.model.segment(text)
         if len(text) <= WINDOW:
             if len(self) >= REMEMBERED:
+                self.old = dict(self)
                 self.clear()
             self[text] = got
         return got
 
+    def forget(self) -> None:
+        self.old = {}
+        self.clear()
+
 
 class Model:
     """A SentencePiece model file with identity normalisation, of type BPE or unigram."""
@@ -261,6 +268,8 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
             for part in common.text_slices(batch, text_col):
                 found = [own.encode(t) for t in part.column(text_col).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(found)], [*columns, ids_col])
+        own.memory.forget()
+        common.trim()
 
     return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
@@ -302,5 +311,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 found = [own.encode(t) for t in texts]
                 exact = [own.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(found, texts)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), _lists(found), pa.array(map(len, found), pa.int32()), pa.array(exact, pa.bool_())], ["id", "ids", "n_ids", "exact"])
+        own.memory.forget()
+        common.trim()
 
     return rest.mapInArrow(run, f"id {rest.schema['id'].dataType.simpleString()}, ids array<int>, n_ids int, exact boolean").withColumnRenamed("id", id_col)

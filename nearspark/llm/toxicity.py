@@ -122,7 +122,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     got = got.slice(0, int(np.searchsorted(size, TRAIN_BYTES, side="right")))
     texts, known = got.column("text"), got.column("label").to_pylist()
     del got, size
-    return train(texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0), known)
+    texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
+    common.trim()
+    model = train(texts, known)
+    del texts
+    common.trim()
+    return model
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -149,6 +154,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 total = np.bincount(row, mark[feature], part.num_rows) + bias
                 p = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
+        common.trim()
 
     schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return rest.mapInArrow(run, schema)
