@@ -115,6 +115,20 @@ def test_sharding(docs, none):
     assert sharding.propagate(none).count() == 0
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_sharding_keeps_groups_together(spark, monkeypatch, few):
+    monkeypatch.setattr(sharding, "FEW", few)
+    sizes = [400, 150, 110, *[55] * 3, *[12] * 10, *[3] * 40]
+    rows = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    rows += [f"single {i}" for i in range(1200 - len(rows))]
+    got = sharding.propagate(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), shards=10).collect()
+    assert len(got) == 1200 and set(Counter(r.shard for r in got).values()) == {120}
+    where = defaultdict(set)
+    for r in got:
+        where[rows[r.doc_id]].add(r.shard)
+    assert [len(where[f"group {g}"]) for g in range(len(sizes))] == [-(-n // 120) for n in sizes]
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
