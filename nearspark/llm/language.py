@@ -18,7 +18,7 @@ from . import common, kernels as K
 
 #: Hash space of affix and n-gram features.
 BITS = 18
-#: Labelled rows that training uses at most, the first in hash order of their ids, and their bytes at most; each is used whole.
+#: Labelled rows that training looks at, the first in hash order of their ids, and bytes of text that it uses of them at most; each text is used whole.
 TRAIN_ROWS = 4000
 TRAIN_BYTES = 8_000_000
 #: Words of a training sequence, and of the stretch it takes from one document.
@@ -221,15 +221,43 @@ def _gradient(crf: Crf, e: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.eye(n)[y] - post, seen - pair.sum(axis=(0, 1))
 
 
+def choose(rows: list[dict], limit: int) -> list[int]:
+    """Which of ``rows`` (in the order of choice) are used, so that their sizes add up to ``limit`` at most.
+
+    Every language first gets an equal share, then what is left goes to any; a row that
+    doesn't fit is passed over, so that one large text neither ends the choice nor takes another language's share.
+    """
+    first = list({tuple(r.values()): i for i, r in reversed(list(enumerate(rows)))}.values())[::-1]
+    share = limit // max(1, len({r["lang"] for r in rows}))
+    taken, used, total = set(), dict.fromkeys((r["lang"] for r in rows), 0), 0
+    for i in first:
+        r = rows[i]
+        if used[r["lang"]] + r["size"] <= share:
+            used[r["lang"]] += r["size"]
+            total += r["size"]
+            taken.add(i)
+    for i in first:
+        if i not in taken and total + rows[i]["size"] <= limit:
+            total += rows[i]["size"]
+            taken.add(i)
+    return sorted(taken)
+
+
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> Crf:
-    """Train on at most ``rows`` rows with a language whose crc32(id) mod 4 is not 2; without any, every document is ``und``."""
+    """Train on at most ``rows`` rows with a language whose crc32(id) mod 4 is not 2; without any, every document is ``und``.
+
+    Rows that are equal in id, text and language count once. A text larger than ``TRAIN_BYTES``
+    is passed over, so a language that has no other isn't learnt.
+    """
     known = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
     known = known.where("id is not null and text is not null and lang is not null and pmod(crc32(cast(id as string)), 4) != 2")
-    picked = known.select("id").orderBy(F.xxhash64("id"), "id").limit(rows)
-    got = known.join(F.broadcast(picked.distinct()), "id", "left_semi").toArrow()  # at most ``rows`` ids are broadcast
+    known = known.withColumns({"size": F.octet_length("text"), "code": F.xxhash64("text")}).where(F.col("size") <= TRAIN_BYTES)
+    key = ["id", "lang", "code", "size"]
+    picked = known.select(*key).orderBy(F.xxhash64("id"), *key).limit(rows).toArrow()  # at most ``rows`` rows without texts
+    picked = picked.take(pa.array(choose(picked.to_pylist(), TRAIN_BYTES), pa.int64()))
+    chosen = docs.sparkSession.createDataFrame(picked)
+    got = known.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select("id", "text", "lang").toArrow()  # at most TRAIN_BYTES of text
     got = got.take(pc.sort_indices(got, [("id", "ascending"), ("lang", "ascending"), ("text", "ascending")]))
-    size = np.cumsum(pc.binary_length(got.column("text")).to_numpy())
-    got = got.slice(0, max(1, int(np.searchsorted(size, TRAIN_BYTES, side="right"))))
     return train(got.column("text").to_pylist(), got.column("lang").to_pylist())
 
 

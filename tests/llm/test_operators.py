@@ -213,6 +213,20 @@ def test_language(spark, none):
     assert np.allclose(crf.posteriors(e, np.array([0, 5])), mass / total, atol=1e-5)
 
 
+def test_language_sample_is_not_a_prefix_of_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(language, "TRAIN_BYTES", 40_000)
+    rng = random.Random(9)
+    roots = {"de": ["ung", "sch", "keit", "der"], "fr": ["eau", "tion", "oui", "les"]}
+    rows = [(i, " ".join("".join(rng.choice(roots[x]) for _ in range(2)) for _ in range(40)), x) for i, x in enumerate(["de"] * 300 + ["fr"] * 300, 10)]
+    rows += [(0, "ungsch " * 6000, "de"), (1, "eauoui " * 5000, "fr")]
+    crf = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert crf.labels == ["de", "fr"]
+    got = language.predict(spark.createDataFrame(rows, "doc_id long, text string, lang string"), crf).collect()
+    assert np.mean([r.lang_pred == x for r, (_, _, x) in zip(sorted(got), sorted(rows))]) > 0.98
+    sample = [{"id": i, "lang": x, "code": i, "size": n} for i, (x, n) in enumerate([("a", 90), ("a", 20), ("b", 30), ("a", 20), ("b", 30), ("a", 5)])]
+    assert language.choose([*sample, sample[1]], 100) == [1, 2, 3, 5] and language.choose([], 100) == []
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href="/a">menu</a></li></ul></nav>
     <div class="ad">Buy, now.</div><article><h1>Head &amp; line</h1><p><b>First   para,\n one.<br>two<p>Second &lt;para&gt;.</p><aside>see also</aside><ul><li>point</ul></article>
