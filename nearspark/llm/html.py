@@ -2,8 +2,9 @@
 
 A page is read into blocks of text, each with its root-to-leaf path of block elements.
 Text length, punctuation and link share are summed per path, smoothed over the blocks in
-page order, fused into one weight per path, and the container whose paths hold most of
-the weight is kept. Elements that are menus, adverts, forms and the like by their name,
+page order and fused into one weight per path. The outermost articles and main elements
+that hold the heavy paths are kept whole; if they hold too little of that text, all of the
+page is, but for containers of links without a heavy path. Elements that are menus, adverts, forms and the like by their name,
 role, class or id have no weight and no text.
 """
 
@@ -38,8 +39,12 @@ SKIP_ROLE = frozenset("navigation banner contentinfo complementary search dialog
 SKIP_WORD = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav footer masthead toolbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus discussion replies respond widget pagination pager skip".split()
 )
-#: Part of a page's weight that the kept container holds at least.
+#: Part of the text on heavy paths that articles and main elements hold at least; otherwise the page is not taken to be divided by them.
 MOST = 0.7
+#: Part of a container's characters inside links above which it is a menu, unless it holds a heavy path.
+LINKED = 0.6
+#: Blocks rather than containers: links alone don't make a menu of them.
+SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption summary".split())
 
 
 class _Element:
@@ -63,9 +68,9 @@ def _skips(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
-    """(text, path of its block elements, characters inside links) of each block that isn't skipped, in page order."""
-    out: list[tuple[str, tuple[str, ...], int]] = []
+def blocks(html: str) -> list[tuple[str, tuple[_Element, ...], int]]:
+    """(text, its block elements from the root, characters inside links) of each block that isn't skipped, in page order."""
+    out: list[tuple[str, tuple[_Element, ...], int]] = []
     stack: list[_Element] = []
     parts: list[str] = []
     links = anchors = 0
@@ -75,7 +80,7 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
         if parts:
             text = BLANK.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((text, tuple(e.key for e in stack), links))
+                out.append((text, tuple(stack), links))
             parts.clear()
         links = 0
 
@@ -148,33 +153,45 @@ def blocks(html: str) -> list[tuple[str, tuple[str, ...], int]]:
     return out
 
 
+def _is_article(e: _Element) -> bool:
+    return e.name in ("article", "main")
+
+
 def main_text(html: str | None) -> str:
     """The kept blocks of a page, joined by two line breaks."""
     found = blocks(html or "")
     if not found:
         return ""
     length, marks, linked, count = (defaultdict(float) for _ in range(4))
-    for text, path, links in found:
+    paths = [tuple(e.key for e in chain) for _, chain, _ in found]
+    for (text, _, links), path in zip(found, paths):
         length[path] += len(text)
         marks[path] += len(PUNCTUATION.findall(text))
         linked[path] += min(links, len(text))
         count[path] += 1
     # a path's ratios, then smoothed over neighbouring blocks so that short blocks amid long ones count with them
     ratio = {p: (length[p] / count[p]) * (1 + marks[p] / count[p]) * (1 - linked[p] / length[p]) for p in length}
-    raw = np.array([ratio[p] for _, p, _ in found])
+    raw = np.array([ratio[p] for p in paths])
     kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
     soft = np.convolve(raw, kernel)[2:-2] / np.convolve(np.ones(len(raw)), kernel)[2:-2]
     weight: dict[tuple, float] = defaultdict(float)
-    for (text, path, links), s in zip(found, soft):
-        own = float(np.sqrt(s * ratio[path])) * (len(text) - min(links, len(text)))
-        for i in range(len(path)):
-            weight[path[:i]] += own  # containers: all that the block's own element is in
-        if not path:
-            weight[()] += own
-    total = weight[()]
-    root = max((p for p, w in weight.items() if w >= MOST * total), key=len, default=())
-    keep = [text for text, path, links in found if path[: len(root)] == root and not links > 0.6 * len(text)]
-    return "\n\n".join(keep)
+    for path, own in zip(paths, np.sqrt(soft * raw).tolist()):
+        weight[path] += own / count[path]
+    least = float(np.std([weight[p] for p in paths])) * (1 - 1e-9)
+    heavy = [weight[p] >= least for p in paths]
+    tops = [next((e for e in chain if _is_article(e)), None) for _, chain, _ in found]
+    plain = [len(text) - min(links, len(text)) for text, _, links in found]
+    roots = {e for e, h in zip(tops, heavy) if h and e}
+    if roots and sum(n for n, h, e in zip(plain, heavy, tops) if h and e) >= MOST * sum(n for n, h in zip(plain, heavy) if h):
+        keep = [e in roots for e in tops]
+    else:
+        size, inside, holds = defaultdict(int), defaultdict(int), {e for (_, chain, _), h in zip(found, heavy) if h for e in chain}
+        for (text, chain, _), n in zip(found, plain):
+            for e in chain:
+                size[e] += len(text)
+                inside[e] += len(text) - n
+        keep = [not any(e not in holds and e.name not in SINGLE and inside[e] > LINKED * size[e] for e in chain) for _, chain, _ in found]
+    return "\n\n".join(text for (text, _, links), k in zip(found, keep) if k and not links > 0.6 * len(text))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

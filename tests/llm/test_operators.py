@@ -238,6 +238,15 @@ def test_html(spark):
     assert "menu" not in got[5].text and html.extract(rows.where("false")).count() == 0
 
 
+def test_html_keeps_all_of_the_article():
+    long, short = "A long sentence, with some commas, and so on. " * 14, "Shorter words, in a paragraph. " * 10
+    for tag in ("section", "div", "blockquote"):
+        page = f"<body><article><h1>Head</h1><p>Lead.</p>{f'<p>{short}</p>' * 4}<{tag}>{f'<p>{long}</p>' * 2}</{tag}></article><div><p>Elsewhere.</p></div></body>"
+        assert html.main_text(page).split("\n\n") == ["Head", "Lead.", *[short.strip()] * 4, *[long.strip()] * 2]
+    page = f"<body><div><ul><li><a>one</a><li><a>two</a></ul></div><h1>Head</h1><p>Lead.</p><div class=content><p>{long}</p><p>{long}</p></div></body>"
+    assert html.main_text(page).split("\n\n") == ["Head", "Lead.", *[long.strip()] * 2]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(9)
     v = rng.standard_normal((5, 12))[rng.integers(5, size=900)] * 2 + rng.standard_normal((900, 12))
