@@ -36,6 +36,9 @@ FAMILY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 HOLDS = frozenset("ul ol menu dl table select body article section div".split())
 SKIP = frozenset("head nav footer aside form script style noscript template iframe object button select option textarea svg canvas audio video title dialog menu noembed noframes xmp".split())
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form alert".split())
+#: Words of a class or id that tell of another element than the one that bears them.
+ABOUT = frozenset("has no not with without enabled disabled layout".split())
+#: An element so named is skipped unless it holds an article or main element, or most of the text around it.
 SKIP_WORD = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav footer masthead toolbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus discussion replies respond widget pagination pager skip".split()
 )
@@ -48,10 +51,10 @@ SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption su
 
 
 class _Element:
-    __slots__ = ("name", "skip", "key", "inside")
+    __slots__ = ("name", "skip", "key", "inside", "soft")
 
-    def __init__(self, name: str, skip: bool, key: str, inside: bool):
-        self.name, self.skip, self.key, self.inside = name, skip, key, inside
+    def __init__(self, name: str, skip: bool, key: str, inside: bool, soft: bool):
+        self.name, self.skip, self.key, self.inside, self.soft = name, skip, key, inside, soft
 
 
 def _skips(name: str, attributes: str, in_article: bool) -> bool:
@@ -63,8 +66,17 @@ def _skips(name: str, attributes: str, in_article: bool) -> bool:
         kind, value = kind.lower(), (a or b or c).lower()
         if kind == "role" and value.strip() in SKIP_ROLE or kind == "hidden" or kind == "aria-hidden" and value == "true":
             return True
-        if kind in ("class", "id") and not SKIP_WORD.isdisjoint(WORD.findall(value)):
-            return True
+    return False
+
+
+def _named(attributes: str) -> bool:
+    """Whether a word of the class or id names something to be skipped."""
+    for kind, a, b, c in ATTRIBUTE.findall(attributes):
+        if kind.lower() in ("class", "id"):
+            for value in (a or b or c).lower().split():
+                words = WORD.findall(value)
+                if not SKIP_WORD.isdisjoint(words) and ABOUT.isdisjoint(words):
+                    return True
     return False
 
 
@@ -148,13 +160,40 @@ def blocks(html: str) -> list[tuple[str, tuple[_Element, ...], int]]:
             continue
         if name == "body":
             close("head")
-        stack.append(_Element(name, skip, name, bool(parent and parent.inside) or name in ("article", "main")))
+        stack.append(_Element(name, skip, name, bool(parent and parent.inside) or name in ("article", "main"), name not in ("html", "body") and bool(m[3]) and _named(m[3])))
     flush()
-    return out
+    return _without_named(out)
+
+
+def _without_named(found: list[tuple[str, tuple[_Element, ...], int]]) -> list[tuple[str, tuple[_Element, ...], int]]:
+    """Drop what lies in elements whose class or id says so, but keep those that hold the page's article or most of the text."""
+    if not any(e.soft for _, chain, _ in found for e in chain):
+        return found
+    size: dict[_Element | None, int] = defaultdict(int)
+    around: dict[_Element, _Element | None] = {}
+    holds: set[_Element] = set()
+    divided = False  # whether there is an article, so that what is outside of it needs no benefit of doubt
+    for text, chain, links in found:
+        n, scope = len(text) - min(links, len(text)), None
+        size[None] += n
+        for i, e in enumerate(chain):
+            size[e] += n
+            around[e] = scope
+            if _is_article(e):
+                scope, divided = e, True
+                holds.update(chain[:i])
+
+    def gone(e: _Element) -> bool:
+        if not e.soft or e.name in ("article", "main") or e in holds:
+            return False
+        return divided and around[e] is None or 2 * size[e] <= size[around[e]]
+
+    return [b for b in found if not any(gone(e) for e in b[1])]
 
 
 def _is_article(e: _Element) -> bool:
-    return e.name in ("article", "main")
+    """Comments and the like that are article elements are none."""
+    return e.name == "main" or e.name == "article" and not e.soft
 
 
 def main_text(html: str | None) -> str:

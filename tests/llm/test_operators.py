@@ -247,6 +247,14 @@ def test_html_keeps_all_of_the_article():
     assert html.main_text(page).split("\n\n") == ["Head", "Lead.", *[long.strip()] * 2]
 
 
+@pytest.mark.parametrize("name", ["page has-sidebar", "no-sidebar", "content-sidebar-wrap", "with-comments", "post-share-enabled", "main-banner-layout"])
+def test_html_wrapper_names_do_not_empty_a_page(name):
+    text, extra = "Some words of the page, and more of them. " * 5, '<div class="sidebar"><p>Aside.</p></div><div id="comments"><article class="comment"><p>I say.</p></article></div>'
+    assert html.main_text(f'<body><div class="{name}"><article><p>{text}</p></article>{extra}</div></body>') == text.strip()
+    assert html.main_text(f'<body><div id="{name.split()[-1]}"><p>{text}</p>{extra}</div></body>') == text.strip()
+    assert html.main_text(f'<body><article><div class="{name}"><p>{text}</p></div>{extra}</article></body>') == text.strip()
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(9)
     v = rng.standard_normal((5, 12))[rng.integers(5, size=900)] * 2 + rng.standard_normal((900, 12))
