@@ -230,7 +230,7 @@ def main_text(html: str | None) -> str:
                 size[e] += len(text)
                 inside[e] += len(text) - n
         keep = [not any(e not in holds and e.name not in SINGLE and inside[e] > LINKED * size[e] for e in chain) for _, chain, _ in found]
-    return "\n\n".join(text for (text, _, links), k in zip(found, keep) if k and not links > 0.6 * len(text))
+    return "\n\n".join(text for (text, _, _), k in zip(found, keep) if k)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

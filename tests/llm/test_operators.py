@@ -255,6 +255,12 @@ def test_html_wrapper_names_do_not_empty_a_page(name):
     assert html.main_text(f'<body><article><div class="{name}"><p>{text}</p></div>{extra}</article></body>') == text.strip()
 
 
+def test_html_keeps_linked_blocks_of_the_article():
+    text = "Some words of the page, and more of them. " * 5
+    page = f'<body><article><h1><a href="/a">Head</a></h1><p>{text}</p><p><a href="/b">One linked sentence.</a></p><ul><li><a href="/c">Source</a></ul></article></body>'
+    assert html.main_text(page).split("\n\n") == ["Head", text.strip(), "One linked sentence.", "Source"]
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(9)
     v = rng.standard_normal((5, 12))[rng.integers(5, size=900)] * 2 + rng.standard_normal((900, 12))
