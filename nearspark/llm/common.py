@@ -5,16 +5,22 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of text that one numpy pass looks at; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Of the keys with more than a thousandth of the rows there are fewer than a thousand, so that they can be broadcast.
+HOT_PART = 1000
+#: Bits that a bitset has at most: 8 MB.
+MOST_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, or one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/nearspark"
+    """The folder that the cluster shares: spark.checkpoint.dir. Without it there is no place that every executor sees."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = f"file://{tempfile.gettempdir()}/nearspark"  # one machine: its own folder is shared by all
+    return found
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -34,16 +45,22 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # nothing reads the shuffle files of a table that has been written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete a staged table that nothing lazy reads any more."""
-    _delete(df.sparkSession, df.staged_path)
+def unstage(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing lazy reads any more."""
+    for df in tables:
+        _delete(df.sparkSession, df.staged_path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -54,6 +71,27 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def hot_join(rows: DataFrame, table: DataFrame, keys: list[str], hot: Column, how: str = "inner") -> DataFrame:
+    """``rows`` with the one row of ``table`` that has their keys. The keys for which ``hot`` holds (few: see HOT_PART) are broadcast, so that their rows don't meet in one task."""
+    few = F.broadcast(table.where(hot))
+    return rows.join(few, keys).unionByName(rows.join(few, keys, "left_anti").join(table.where(~hot), keys, how))
+
+
+def bitset(keys: DataFrame, count: int) -> np.ndarray:
+    """A bit for each of the longs of ``keys`` (one column), 16 bits a key within bounds; more keys than fit only make more alarms false."""
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * max(count, 1) - 1).bit_length()))
+    slot = F.pmod(F.col(keys.columns[0]), F.lit(bits))
+    words = keys.select(slot.alias("slot")).groupBy(F.expr("slot >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def in_bitset(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    slot = keys.view(np.uint64) & np.uint64(len(table) * 64 - 1)
+    return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
 def local(spark: SparkSession, schema: pa.Schema, rows: list[dict]) -> DataFrame:
     """A small table that the driver holds, without a Python task."""
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema))

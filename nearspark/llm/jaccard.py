@@ -1,33 +1,37 @@
 """N-gram Jaccard join: exact links of documents whose word shingles overlap, and their components.
 
-Jaccard distance is a metric. Documents with equal shingle sets are one point. Shingles
-are put in one global order (by hash, those in many prefixes last); two points within
-distance 1 - t share a shingle of their prefixes in that order, so the lists of a prefix
-shingle are overlapping regions of the space that together hold every close pair.
-
-* Regions with the same points count as one, which weighs as many shingles as it stands for.
-* Each region has a pivot. Distances to it are measured exactly; points within reach of
-  the pivot are linked through it and need no comparison with each other.
-* Regions that still hold points of several components are entered again with another
-  pivot (the recursion), as long as pivots still link something.
-* What is left is joined inside the regions: only pairs of different components, of
-  compatible sizes, within the triangle-inequality window of their distances to the
-  region's pivots, with parity masks no further apart than the threshold allows (each
-  shingle that only one set has changes one bit at most), and with as many common prefix
-  shingles as the threshold demands.
-
-No pair within the threshold can be missed: a pair is left out only by a proof (sizes,
-windows, masks, prefix overlap) or because its points are connected already.
+Jaccard distance is a metric. Documents with equal shingle sets are one point; two points
+are linked within distance 1/4 (``REACH``).
+
+* Pivots: shingles are put in one global order (by hash, those in many prefixes last), and
+  two linked points share a shingle of their prefixes in that order. Of all points with a
+  prefix shingle, the one of smallest random priority is its pivot.
+* Regions: a point belongs to the region of every pivot that its prefix shingles have, so
+  any two linked points meet in a region. Points of a group of near copies share pivots,
+  and a point is in few regions. Distances to pivots are measured exactly, or bounded from
+  below by parity masks (each shingle that only one set has changes one bit at most).
+  Points in reach of their pivot are linked through it and needn't be compared.
+* Recursion: a large region chooses several pivots among the points that aren't connected
+  with its own. Each point goes to the Voronoi cell of its nearest pivot, and boundary
+  points also to every cell whose pivot is no more than twice the reach further away:
+  by the triangle inequality, linked points then meet in a cell. Cells are divided again
+  as long as that makes less to compare.
+* In a small cell, points of different components are compared unless sizes, the
+  triangle-inequality window of their distances to the pivot, or the masks prove them
+  apart. What no proof keeps apart is measured on the whole sets.
+
+A pair is left out only by a proof or because its points are connected already. Shingles are
+64-bit hashes; sets count as equal if their size and two sums of differently mixed hashes
+agree (of a single shingle: two hashes).
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import common, dedup, kernels as K
 from .common import stage, unstage
@@ -37,16 +41,21 @@ CROWD = 64
 #: Crowded shingles that are broadcast at most (8 bytes each); beyond that only the most crowded go last, which costs time, not links.
 MOST_CROWDED = 2_000_000
 PASSES = 2
-PIVOT_ROUNDS = 2
 NUM, DEN = 3, 4  # similarity of at least 75 / 100
+REACH = 0.25
+_EPS = 1e-9
 _LAST = np.uint64(1 << 62)
-#: 64-bit words of a set's parity mask. Masks tell sets of up to about 900 shingles apart; longer sets are left to the other proofs.
-MASK = 4
-MASKS = [f"m{k}" for k in range(MASK)]
+_OTHER = np.uint64(0x5851F42D4C957F2D)
+#: Bits of a parity mask: four a shingle, as a power of two within these bounds. Masks of longer sets prove less.
+MASK_BITS = (256, 1 << 16)
+#: Pairs to look at in a region from which on it is divided, pivots it is divided by, and points of a side that one task compares.
+LARGE = 250_000
+FAN = 8
+SIDE = 4096
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    return docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].alias("text"))
 
 
 def prefix_length(n: int) -> int:
@@ -55,7 +64,7 @@ def prefix_length(n: int) -> int:
 
 
 def _ranked(h: np.ndarray, crowded: np.ndarray) -> np.ndarray:
-    """The place of each shingle in the global order, ascending. (Equal places of different shingles only overstate overlaps.)"""
+    """The place of each shingle in the global order, ascending. (Equal places of different shingles only make regions larger.)"""
     rank = h >> np.uint64(2)
     if len(crowded):
         at = np.minimum(np.searchsorted(crowded, rank), len(crowded) - 1)
@@ -63,67 +72,120 @@ def _ranked(h: np.ndarray, crowded: np.ndarray) -> np.ndarray:
     return np.sort(rank)
 
 
-def _masks(h: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-    """Per row MASK words: bit b tells whether an odd number of its shingles has the low bits b."""
-    bits = 64 * MASK
-    odd = np.bincount(row * bits + (h % np.uint64(bits)).astype(np.int64), minlength=rows * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1).view(np.int64)
+def _mask(h: np.ndarray) -> bytes:
+    """Bit b tells whether an odd number of the shingles has the low bits b."""
+    bits = min(MASK_BITS[1], max(MASK_BITS[0], 1 << (4 * len(h) - 1).bit_length())) if len(h) else MASK_BITS[0]
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _alike(nx: str, ny: str, one: str, two: str) -> Column:
-    """Whether masks allow a link: sets that are linked differ in no more shingles than sizes and threshold leave."""
-    total = F.col(nx) + F.col(ny)
-    differ = sum((F.bit_count(F.col(f"{one}{k}").bitwiseXOR(F.col(f"{two}{k}"))) for k in range(MASK)), F.lit(0))
-    return differ <= total - 2 * F.ceil(total * NUM / (NUM + DEN))
+def _folded(mask: np.ndarray, words: int) -> np.ndarray:
+    """A mask (or rows of masks) of fewer words: that of the same set with fewer low bits."""
+    while mask.shape[-1] > words:
+        half = mask.shape[-1] // 2
+        mask = mask[..., :half] ^ mask[..., half:]
+    return mask
 
 
 def prefixes(docs: DataFrame, crowded: np.ndarray, n_words: int) -> DataFrame:
-    """id, n (set size), a, b (128 bits of the set), last (place of the last prefix shingle), m0.. (parity mask), prefix."""
+    """id, n (set size), a, b (128 bits of the set), mask, prefix."""
     held = docs.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crowd = held.value
         for batch in batches:
             for part in common.text_slices(batch):
-                h, row, first = K.shingles(*common.spaced(part.column("text")), n_words)
-                n = np.diff(first)
-                one, two = (np.concatenate([[0], np.cumsum(x, dtype=np.uint64)]).astype(np.uint64) for x in (h, K.mix(h ^ np.uint64(0x5851F42D4C957F2D))))
-                a, b = (x[first[1:]] - x[first[:-1]] for x in (one, two))
-                cut = [_ranked(h[lo:hi], crowd)[: prefix_length(hi - lo)] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
-                last = np.array([c[-1] if len(c) else 0 for c in cut], np.uint64)
-                flat = np.concatenate(cut) if cut else np.empty(0, np.uint64)
+                h, _, first = K.shingles(*common.spaced(part.column("text")), n_words)
+                sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(K.mix(x), dtype=np.uint64)]) for x in (h, h ^ _OTHER)]
+                a, b = (x[first[1:]] - x[first[:-1]] for x in sums)
+                if len(alone := np.flatnonzero(np.diff(first) == 1)):  # one shingle: 64 bits of a second hash
+                    b[alone] = K.shingles(*common.spaced(part.column("text").take(pa.array(alone))), n_words, seed=1)[0]
+                sets = [h[lo:hi] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
+                cut = [_ranked(x, crowd)[: prefix_length(len(x))] for x in sets]
                 off = np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(off), pa.array(flat.view(np.int64)))
-                masks = _masks(h, row, len(n))
-                longs = [n.astype(np.int64), *(x.view(np.int64) for x in (a, b, last)), *(np.ascontiguousarray(masks[:, k]) for k in range(MASK))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, longs), lists], ["id", "n", "a", "b", "last", *MASKS, "prefix"])
+                lists = pa.ListArray.from_arrays(pa.array(off), pa.array((np.concatenate(cut) if cut else np.empty(0, np.uint64)).view(np.int64)))
+                longs = [np.diff(first).astype(np.int64), a.view(np.int64), b.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, longs), pa.array(map(_mask, sets), pa.binary()), lists], ["id", "n", "a", "b", "mask", "prefix"])
+
+    return docs.mapInArrow(run, "id long, n long, a long, b long, mask binary, prefix array<long>")
+
+
+def _representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row per distinct set. Rows whose set has no copy pass straight through; a Bloom table tells most of them."""
+    many = classes.where("copies > 1").select("n", "a", "b", "rep")
+    bits = dedup.bloom_bits(many.count())
+    seen = dedup.might_contain(rows.where("n > 0 and id is not null"), F.col("a"), dedup.bloom(many, F.col("a"), bits), bits, "__maybe")
+    straight = seen.where("not __maybe").drop("__maybe")
+    # only a representative's own row matches, so copies don't meet
+    firsts = classes.select("n", "a", "b", F.col("rep").alias("id"))
+    checked = seen.where("__maybe").drop("__maybe").join(firsts, ["id", "n", "a", "b"], "left_semi").dropDuplicates(["id", "a", "b"])
+    return straight.unionByName(checked.select(*straight.columns))
+
+
+def _postings(points: DataFrame, shared: np.ndarray) -> DataFrame:
+    """(h, node) of the prefix shingles that may be in several prefixes."""
+    held = points.sparkSession.sparkContext.broadcast(shared)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("prefix")
+            h = lists.flatten().to_numpy()
+            node = np.repeat(b.column("id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+            hit = common.in_bitset(held.value, h)
+            yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(node[hit])], ["h", "node"])
 
-    return docs.mapInArrow(run, f"id long, n long, a long, b long, last long, {', '.join(f'{c} long' for c in MASKS)}, prefix array<long>")
+    return points.select("id", "prefix").mapInArrow(run, "h long, node long")
+
+
+def _bounds(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """pairs (pivot, node) with n (the node's), lo (their distance at least), texts (how many pairs of sets their ids stand for) and maybe (whether they may be linked)."""
+    one = info.select("node", "n", "mask")
+    two = info.select(F.col("node").alias("pivot"), F.col("n").alias("m"), F.col("mask").alias("other"))
+    sizes = pairs.groupBy("pivot").agg(F.count("*").alias("c"))
+    both = common.hot_join(pairs.join(one, "node"), two.join(sizes, "pivot"), ["pivot"], F.col("c") * common.HOT_PART > max(pairs.count(), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = b.column("n").to_numpy() + b.column("m").to_numpy()
+            low = np.minimum(b.column("n").to_numpy(), b.column("m").to_numpy())
+            differ = total - 2 * low
+            for i, (x, y) in enumerate(zip(b.column("mask"), b.column("other"))):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                words = min(len(x), len(y))
+                differ[i] = max(differ[i], int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()))
+            yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), b.column("n"), pa.array(2 * differ / (total + differ)), pa.array(_may_link(total, differ))], ["pivot", "node", "n", "lo", "maybe"])
+
+    found = both.mapInArrow(run, "pivot long, node long, n long, lo double, maybe boolean")
+    return found.groupBy("pivot", "node").agg(F.min("lo").alias("lo"), F.max("maybe").alias("maybe"), F.count("*").alias("texts"))
+
+
+def _may_link(total: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of so many shingles in all, of which so many at least are in one set only, may be linked."""
+    return DEN * (total - differ) >= NUM * (total + differ)
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
-    """(node, set) of the given nodes, from their texts; others are turned away by a Bloom table before their texts are read."""
-    bits = dedup.bloom_bits(nodes.count())
-    seen = dedup.might_contain(docs, F.col("id"), dedup.bloom(nodes, F.col("node"), bits), bits, "__maybe").where("__maybe").select("id", "text")
+    """(node, set) of the given nodes, from their texts; most others are turned away by a bitset before they are read."""
+    held = docs.sparkSession.sparkContext.broadcast(common.bitset(nodes.select(F.xxhash64("node").alias("k")), nodes.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(common.in_bitset(held.value, batch.column("k").to_numpy())))
             for part in common.text_slices(batch):
                 h, _, first = K.shingles(*common.spaced(part.column("text")), n_words)
                 data = [h[lo:hi].tobytes() for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary())], ["node", "set"])
 
-    return seen.mapInArrow(run, "node long, set binary").join(nodes, "node", "left_semi")
+    return docs.withColumn("k", F.xxhash64("id")).mapInArrow(run, "node long, set binary").join(nodes, "node", "left_semi").distinct()
 
 
 def _measure(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
-    """pairs (x, y) with common and total, the sizes of their sets' intersection and union."""
-    pairs = stage(pairs, "jaccard-pairs")
-    nodes = stage(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "jaccard-nodes")
+    """pairs (pivot, node) with common and total, the sizes of their sets' intersection and union; of ids with several texts the nearest."""
+    nodes = stage(pairs.select(F.explode(F.array("pivot", "node")).alias("node")).distinct(), "jaccard-nodes")
     sets = stage(_sets(docs, nodes, n_words), "jaccard-sets")
-    one = sets.select(F.col("node").alias("x"), F.col("set").alias("sx"))
-    two = sets.select(F.col("node").alias("y"), F.col("set").alias("sy"))
-    both = pairs.join(one, "x").join(two, "y").select("x", "y", "sx", "sy")
+    one = sets.select("node", F.col("set").alias("sx"))
+    two = sets.select(F.col("node").alias("pivot"), F.col("set").alias("sy"))
+    both = pairs.select("pivot", "node").join(one, "node").join(two, "pivot")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,19 +195,21 @@ def _measure(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
                 n = len(np.intersect1d(p, q, assume_unique=True))
                 common_.append(n)
                 total.append(len(p) + len(q) - n)
-            yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y"), pa.array(common_, pa.int64()), pa.array(total, pa.int64())], ["x", "y", "common", "total"])
-
-    # an id that several texts have counts as linked by its nearest
-    done = both.mapInArrow(run, "x long, y long, common long, total long")
-    out = stage(done.groupBy("x", "y").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("j"), "common", "total")).alias("m")).select("x", "y", "m.common", "m.total"), "jaccard-measured")
-    for t in (pairs, nodes, sets):
-        unstage(t)
-    _release(docs.sparkSession)
+            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node"), pa.array(common_, pa.int64()), pa.array(total, pa.int64())], ["pivot", "node", "common", "total"])
+
+    done = both.mapInArrow(run, "pivot long, node long, common long, total long")
+    best = done.groupBy("pivot", "node").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("j"), "common", "total")).alias("m"))
+    out = stage(best.select("pivot", "node", "m.common", "m.total"), "jaccard-measured")
+    unstage(nodes, sets)
     return out
 
 
-def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """(node, label) of every node of ``links`` (x, y): the smallest node it is connected with.
+def _links(measured: DataFrame) -> DataFrame:
+    return measured.where(F.col("common") * DEN >= F.col("total") * NUM).select(F.col("pivot").alias("x"), F.col("node").alias("y"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of every node of ``links`` (x, y): the smallest node it is connected with. A staged table.
 
     Labels spread along links and through labels' own labels until nothing changes; each round is a staged table.
     """
@@ -158,18 +222,138 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
         jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
         new = stage(step.join(jump, "label", "left").select("node", "old", F.least("label", "far").alias("label")), "labels")
         changed = new.where("old != label").limit(1).count()
-        labels = new.select("node", "label")
+        unstage(labels)
+        labels = new
         if not changed:
-            return labels
+            unstage(edges)
+            out = new.select("node", "label")
+            out.staged_path = new.staged_path
+            return out
+
+
+class _Known:
+    """What has been found so far: measured pairs, links and labels, as staged tables."""
+
+    def __init__(self, docs: DataFrame, info: DataFrame, links: DataFrame, n_words: int):
+        self.docs, self.info, self.n_words, self.links = docs, info, n_words, links
+        self.labels, self.measured = None, []
+
+    def look(self, pairs: DataFrame) -> DataFrame:
+        """pairs (pivot, node) with lo and hi, between which their distance is. Those that may be linked are measured; labels are brought up to date."""
+        bounds = stage(_bounds(pairs, self.info), "jaccard-bounds")
+        new = _measure(bounds.where("maybe"), self.docs, self.n_words)
+        self.take(new)
+        exact = new.select("pivot", "node", (1 - F.col("common") / F.col("total")).alias("d"))
+        # an id that several texts have stands for several points, to which no distance holds
+        one = F.col("texts") == 1
+        out = bounds.join(exact, ["pivot", "node"], "left").select("pivot", "node", F.when(one, F.coalesce("d", "lo")).otherwise(0.0).alias("lo"), F.when(one & F.col("d").isNotNull(), F.col("d")).otherwise(1.0).alias("hi"))
+        out = stage(out, "jaccard-distances")
+        unstage(bounds)
+        return out
+
+    def take(self, new: DataFrame) -> None:
+        self.measured.append(new)
+        grew = _links(new).limit(1).count()
+        self.links = self.links.unionByName(_links(new))
+        if grew or self.labels is None:
+            if self.labels is not None:
+                unstage(self.labels)
+            self.labels = components(self.links)
+
+    def weighed(self, cells: DataFrame) -> DataFrame:
+        """cells (cell, pivot, node, lo, hi) with label, own (the label of the cell's pivot), and of the cell points, others (those of
+        other labels) and work (pairs to look at). Cells without work are left out. A staged table."""
+        rows = stage(cells.where("node != pivot").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-tagged")
+        most = max(rows.count(), 1)
+        own = rows.groupBy("cell", "pivot").agg(F.count("*").alias("points")).join(self.labels.select(F.col("node").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
+        own = stage(own.where("points > 1"), "jaccard-own")
+        hot = F.col("points") * common.HOT_PART > most
+        counts = common.hot_join(rows, own.drop("pivot"), ["cell"], hot).where("label != own").groupBy("cell").agg(F.count("*").alias("others"))
+        own_ = own.join(counts, "cell").withColumn("work", F.col("points") * F.col("others")).drop("pivot")
+        out = stage(common.hot_join(rows, own_, ["cell"], hot), "jaccard-weighed")
+        unstage(rows, own)
+        return out
+
+
+def _divide(known: _Known, cells: DataFrame) -> DataFrame:
+    """Voronoi cells (cell, pivot, node, lo, hi) of the points of each cell (cell, node, label, own) around pivots that its own pivot isn't connected with, with boundary points in several."""
+    others = cells.where("label != own").groupBy("cell", F.pmod(F.xxhash64("label"), F.lit(FAN)).alias("turn")).agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot"))
+    pivots = others.select("cell", "pivot").distinct()
+    pairs = stage(cells.select("cell", "node").join(pivots, "cell"), "jaccard-divided")
+    far = known.look(pairs.where("pivot != node").select("pivot", "node").distinct())
+    near = pairs.join(far, ["pivot", "node"], "left").withColumns({"lo": F.coalesce("lo", F.lit(0.0)), "hi": F.when(F.col("pivot") == F.col("node"), 0.0).otherwise(F.col("hi"))})
+    home = near.groupBy("cell", "node").agg(F.min("hi").alias("home"), F.collect_list(F.struct("pivot", "lo", "hi")).alias("at"))  # FAN pivots at most
+    spread = home.select("cell", "node", "home", F.explode("at").alias("p")).where(F.col("p.lo") <= F.col("home") + 2 * REACH + _EPS)
+    out = stage(spread.select(F.xxhash64("cell", "p.pivot").alias("cell"), "p.pivot", "node", "p.lo", "p.hi"), "jaccard-cells")
+    unstage(pairs, far)
+    return out
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished phases now rather than at some later collection."""
-    gc.collect()
-    spark._jvm.System.gc()
+def _compare(cells: DataFrame, info: DataFrame) -> DataFrame:
+    """Pairs (pivot, node) of points of different components that no proof keeps apart.
 
+    cells: cell, node, lo, hi, label, own, points, others. The others of a cell meet all its points, in tasks of SIDE points of either side.
+    """
+    rows = cells.join(info.select("node", "n", "mask"), "node")
+    sides = {"o": F.ceil(F.col("others") / SIDE).cast("int"), "t": F.ceil(F.col("points") / SIDE).cast("int")}
+    own = {s: F.pmod(F.xxhash64("node", F.lit(s)), n).cast("int") for s, n in sides.items()}
+    all_ = {s: F.explode(F.sequence(F.lit(0), n - 1)) for s, n in sides.items()}
+    value = ["node", "n", "lo", "hi", "label", "mask"]
+    left = rows.where("label != own").withColumn("i", own["o"]).withColumn("j", all_["t"]).select("cell", "i", "j", F.lit(True).alias("asks"), *value)
+    right = rows.withColumn("j", own["t"]).withColumn("i", all_["o"]).select("cell", "i", "j", F.lit(False).alias("asks"), *value)
+    keys = ["cell", "i", "j"]
+    dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys)
+
+    def pairs_of(b: pa.Table) -> tuple[list, list]:
+        asks = b.column("asks").to_numpy()
+        node, n, lo, hi, label = (b.column(c).to_numpy() for c in value[:5])
+        masks = [np.frombuffer(m.as_buffer(), np.uint64) for m in b.column("mask").combine_chunks()]
+        words = np.array([len(m) for m in masks])
+        other = np.zeros(len(node), bool)
+        other[np.isin(node, node[asks])] = True
+        targets = {w: (at := np.flatnonzero(~asks & (words == w)), np.stack([masks[i] for i in at])) for w in np.unique(words[~asks]).tolist()}
+        x, y = [], []
+        for i in np.flatnonzero(asks).tolist():
+            for w, (at, table) in targets.items():
+                # a pair of two others is looked at from its smaller side
+                fits = (label[at] != label[i]) & (~other[at] | (node[at] > node[i])) & (DEN * np.minimum(n[at], n[i]) >= NUM * np.maximum(n[at], n[i]))
+                fits &= (lo[at] <= hi[i] + REACH + _EPS) & (lo[i] <= hi[at] + REACH + _EPS)
+                pick = np.flatnonzero(fits)
+                if not len(pick):
+                    continue
+                width = min(w, len(masks[i]))
+                differ = np.bitwise_count(_folded(table[pick], width) ^ _folded(masks[i], width)).sum(axis=1, dtype=np.int64)
+                good = node[at[pick[_may_link(n[at[pick]] + n[i], differ)]]]
+                x += np.minimum(good, node[i]).tolist()
+                y += np.maximum(good, node[i]).tolist()
+        return x, y
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, crowd: int = CROWD) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.Table] = []  # one task's points of a cell at most, and one batch
+
+        def done(t: pa.Table) -> pa.RecordBatch:
+            x, y = pairs_of(t)
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["pivot", "node"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            if waiting:
+                t = pa.concat_tables([*waiting, t])
+            k = [t.column(c).to_numpy() for c in keys]
+            cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in k])) + 1
+            edges = [0, *cuts.tolist()]
+            for lo, hi in zip(edges, edges[1:]):
+                yield done(t.slice(lo, hi - lo))
+            waiting = [t.slice(edges[-1])]
+        if waiting:
+            yield done(waiting[0])
+
+    return dealt.mapInArrow(run, "pivot long, node long").distinct()
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, crowd: int = CROWD, large: int = LARGE) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id it is connected with by links of similarity 3/4 or more).
 
     Null and word-free texts have no shingles and are linked with nothing; fewer than
@@ -177,13 +361,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     Rows repeated with one id count as one document, linked by any of its texts. An empty
     table gives no rows. Other columns aren't read.
     """
-    spark = docs.sparkSession
     own = _own(docs, id_col, text_col)
     taking = own.where("id is not null")
-    crowded = np.empty(0, np.uint64)
-    rows = lists = None
+    crowded, rows, points = np.empty(0, np.uint64), None, None
     for k in range(PASSES):
-        if k:
+        if rows is not None:
             unstage(rows)
         rows = stage(prefixes(own, crowded, n_words), "jaccard-prefixes")
         if k == 0:
@@ -195,122 +377,65 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
         found = lists.where((F.col("c") > crowd) & (F.col("h") < int(_LAST))).orderBy(F.desc("c"), "h").limit(MOST_CROWDED - len(crowded)).select("h").toArrow()
         if not found.num_rows:
             break
+        unstage(lists)
         crowded = np.sort(np.concatenate([crowded, found.column("h").to_numpy().astype(np.uint64)]))
-        _release(spark)
-    # only postings of shingles in two prefixes or more matter; a Bloom table turns most others away before the shuffle
-    bits = dedup.bloom_bits(lists.count())
-    posted = dedup.might_contain(points.select(F.explode("prefix").alias("h"), F.col("id").alias("node"), "n", "last", "a"), F.col("h"), dedup.bloom(lists, F.col("h"), bits), bits, "__maybe")
-    posted = stage(posted.where("__maybe").drop("__maybe").join(lists.select("h"), "h", "left_semi"), "jaccard-shared")
-    # a point occurs once in a region, so that no two of the same hashes cancel out
-    signs = [F.bit_xor(F.xxhash64("node", "a", F.lit(k))).alias(f"s{k}") for k in range(2)]
-    regions = posted.groupBy("h").agg(*signs, F.count("*").alias("c"), F.min("node").alias("pivot"))
-    regions = regions.groupBy("s0", "s1", "c").agg(F.min("h").alias("h"), F.count("*").alias("w"), F.min("pivot").alias("pivot"))
-    posted = stage(posted.drop("a").join(regions.select("h", "w", "pivot"), "h"), "jaccard-posted")
+    total = rows.count()
+    posted = stage(_postings(points, common.bitset(lists.select("h"), lists.count())), "jaccard-postings")
+    pivots = posted.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot")).where("c > 1")
+    pivots = stage(pivots, "jaccard-pivots")
+    regions = common.hot_join(posted, pivots, ["h"], F.col("c") * common.HOT_PART > max(total, 1)).where("node != pivot").select("pivot", "node").distinct()
+    regions = stage(regions, "jaccard-regions")
+    info = stage(points.select(F.col("id").alias("node"), "n", "mask"), "jaccard-masks")
     sized = stage(rows.select("id", "n", "a", "b"), "jaccard-sizes")
-    masks = stage(points.select(F.col("id").alias("node"), F.col("n").alias("m"), *MASKS), "jaccard-masks")
-    unstage(rows)
-    _release(spark)
-
-    measured, labels = None, None
-    fits = "least(n, m) * 4 >= greatest(n, m) * 3"
-    sizes = classes.groupBy(F.col("rep").alias("pivot")).agg(F.max("n").alias("m"))
-    active = posted
-    for k in range(PIVOT_ROUNDS):
-        if k:  # regions with several components left, each with its other end as pivot
-            tagged = _tagged(active, labels)
-            mixed = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max_by("node", F.struct("label", "node")).alias("pivot")).where("lo != hi").select("h", "pivot")
-            active = stage(tagged.drop("label", "pivot").join(mixed, "h"), "jaccard-regions")
-        pairs = active.where("node != pivot").select(F.col("node").alias("x"), F.col("pivot").alias("y"), "n").distinct()
-        pairs = pairs.join(sizes.withColumnRenamed("pivot", "y"), "y").where(fits).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-        if measured is not None:
-            pairs = pairs.join(measured, ["x", "y"], "left_anti")
-            pairs = _across(pairs, labels)
-        new = _measure(_possible(_overlap(_unlike_left_out(pairs, masks), posted)), taking, n_words)
-        linked = new.where(F.col("common") * DEN >= F.col("total") * NUM)
-        grew = linked.limit(1).count()
-        measured = new if measured is None else stage(measured.unionByName(new), "jaccard-measured-all")
-        if grew or labels is None:
-            labels = components(measured.where(F.col("common") * DEN >= F.col("total") * NUM))
-        _release(spark)
-        if not grew:
-            break
-
-    rest = _measure(_left_over(active, labels, measured, masks), taking, n_words)
-    links = measured.unionByName(rest).where(F.col("common") * DEN >= F.col("total") * NUM)
-    if rest.where(F.col("common") * DEN >= F.col("total") * NUM).limit(1).count():
-        labels = components(links)
-    member = sized.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    out = member.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), None).otherwise(F.coalesce("label", "rep", "id")).alias("component_id"))
-    # rows of one id with different texts: one document
-    low = out.where("id is not null").groupBy("id").agg(F.min("component_id").alias("low"), F.count("*").alias("k")).where("k > 1")
-    return out.join(F.broadcast(low) if low.limit(1).count() == 0 else low, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("low", "component_id").alias("component_id"))
-
-
-def _representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """One row per distinct set. Rows whose set has no copy pass straight through; a Bloom table tells most of them."""
-    many = classes.where("copies > 1")
-    bits = dedup.bloom_bits(many.count())
-    seen = dedup.might_contain(rows.where("n > 0 and id is not null"), F.col("a"), dedup.bloom(many, F.col("a"), bits), bits, "__maybe")
-    straight = seen.where("not __maybe").drop("__maybe")
-    checked = seen.where("__maybe").join(many, ["n", "a", "b"], "left").where("rep is null or id = rep").dropDuplicates(["id", "a", "b"]).select(*straight.columns)
-    return straight.unionByName(checked)
-
-
-def _tagged(posted: DataFrame, labels: DataFrame) -> DataFrame:
-    return posted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs that aren't connected yet."""
-    one, two = labels.toDF("x", "lx"), labels.toDF("y", "ly")
-    return pairs.join(one, "x", "left").join(two, "y", "left").where(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select("x", "y")
-
-
-def _left_over(posted: DataFrame, labels: DataFrame, measured: DataFrame, masks: DataFrame) -> DataFrame:
-    """Pairs of different components in a region that no proof keeps apart."""
-    tagged = _tagged(posted, labels)
-    several = tagged.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("h")
-    both = measured.select(F.col("x").alias("node"), F.col("y").alias("pivot"), "common", "total").union(measured.select("y", "x", "common", "total"))
-    far = both.select("node", "pivot", (1 - F.col("common") / F.col("total")).alias("d"))
-    # an id that several texts have meets each of its masks that fits in size
-    inside = tagged.join(several, "h", "left_semi").join(masks.withColumnRenamed("m", "n"), ["node", "n"])
-    inside = stage(inside.join(far, ["node", "pivot"], "left"), "jaccard-inside")
-    a, b = (
-        inside.select("h", F.col("w").alias(f"weigh{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("last").alias(f"w{k}"), F.col("label").alias(f"l{k}"), F.col("d").alias(f"d{k}"), *[F.col(c).alias(f"{k}{c}") for c in MASKS])
-        for k in "xy"
-    )
-    window = F.coalesce(F.abs(F.col("dx") - F.col("dy")) <= 0.2500001, F.lit(True))
-    near = a.withColumnRenamed("weighx", "w").join(b.drop("weighy"), "h").where("x < y and lx != ly and least(nx, ny) * 4 >= greatest(nx, ny) * 3").where(_alike("nx", "ny", "xm", "ym")).where(window)
-    return _possible(near).join(measured, ["x", "y"], "left_anti")
-
-
-def _possible(shared: DataFrame) -> DataFrame:
-    """Pairs (x, y) with as many common prefix shingles as the threshold demands. shared: a row per pair and region, with the region's weight.
-
-    Beyond the end of the prefix that ends first, no more can be common than that set has left.
-    """
-    counted = shared.groupBy("x", "y", "nx", "ny", "wx", "wy").agg(F.sum("w").alias("c"))
-    z = F.when(F.col("wx") <= F.col("wy"), F.col("nx")).otherwise(F.col("ny"))
-    need = F.ceil((F.col("nx") + F.col("ny")) * NUM / (NUM + DEN))
-    return counted.where(F.col("c") >= need - (F.ceil(z * NUM / DEN) - 1)).select("x", "y").distinct()
+    unstage(rows, lists, posted, pivots)
 
+    known = _Known(taking, info, _of_one_id(sized, classes), n_words)
+    level = known.weighed(known.look(regions).withColumn("cell", F.col("pivot")))
+    unstage(regions)
+    final, levels, before = [], [], None
+    while True:
+        levels.append(level)
+        big = level.where(F.col("work") > large)
+        work = big.groupBy("cell").agg(F.first("work").alias("work")).agg(F.coalesce(F.sum("work"), F.lit(0)).cast("long")).head()[0]
+        # divided again only as long as that leaves less to compare
+        if not work or before is not None and work > 0.7 * before:
+            final.append(level)
+            break
+        final.append(level.where(F.col("work") <= large))
+        level, before = known.weighed(_divide(known, big)), work
+    cells = final[0]
+    for f in final[1:]:
+        cells = cells.unionByName(f)
+    if len(final) > 1:  # labels have grown since
+        cells = known.weighed(cells.select("cell", "pivot", "node", "lo", "hi"))
+        levels.append(cells)
+    pairs = _compare(cells, info)
+    seen = [m.select(*c) for m in known.measured for c in (("pivot", "node"), (F.col("node").alias("pivot"), F.col("pivot").alias("node")))]
+    for m in seen:
+        pairs = pairs.join(m, ["pivot", "node"], "left_anti")
+    pairs = stage(pairs, "jaccard-pairs")
+    known.take(_measure(pairs, taking, n_words))
+    unstage(pairs, info, *levels)
 
-def _unlike_left_out(pairs: DataFrame, masks: DataFrame) -> DataFrame:
-    one, two = (masks.toDF(k, f"n{k}", *[f"{k}{c}" for c in MASKS]) for k in "xy")
-    return pairs.join(one, "x").join(two, "y").where(_alike("nx", "ny", "xm", "ym")).select("x", "y").distinct()
+    named = classes.join(known.labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", "copies", F.coalesce("label", "rep").alias("component"))
+    # documents without shingles, which are alike but not linked, don't meet
+    plain = sized.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
+    linked = common.hot_join(sized.where("n > 0 and id is not null"), named, ["n", "a", "b"], F.col("copies") * common.HOT_PART > max(total, 1))
+    return plain.unionByName(linked.select("id", "n", "component")).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
-def _overlap(pairs: DataFrame, posted: DataFrame) -> DataFrame:
-    """The rows that _possible takes, for given pairs."""
-    one = posted.select("h", "w", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("last").alias("wx")).join(pairs, "x")
-    two = posted.select("h", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("last").alias("wy"))
-    return one.join(two, ["y", "h"])
+def _of_one_id(sized: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (x, y) between the representatives of the texts of one id."""
+    rows = sized.where("n > 0 and id is not null")
+    several = rows.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+    reps = rows.join(several, "id", "left_semi").distinct().join(classes, ["n", "a", "b"]).select("id", "rep")
+    return reps.join(reps.groupBy("id").agg(F.min("rep").alias("x")), "id").select("x", F.col("rep").alias("y"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, every column, with one document (the smallest id) of each component. Rows with a null id stay."""
     found = stage(join(docs, id_col, text_col), "jaccard-found")
-    return dedup.without(docs, found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)), id_col)
+    return dedup.without(docs, found.where(F.col(f"`{id_col}`") != F.col("component_id")).select(F.col(f"`{id_col}`")), id_col)
 
 
 ORACLE_SQL = r"""
@@ -321,7 +446,7 @@ s AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 T
 g AS (SELECT doc_id, len(sh)::BIGINT AS n, list_sort(sh) AS sh FROM s),
 c AS (SELECT sh, any_value(n) AS n, min(doc_id) AS rep FROM g WHERE n > 0 GROUP BY sh),
 p AS (SELECT rep, n, unnest(sh) AS x FROM c),
-f AS (SELECT x FROM p GROUP BY x HAVING count(*) BETWEEN 2 AND 1000000000),
+f AS (SELECT x FROM p GROUP BY x HAVING count(*) >= 2),
 q AS (SELECT p.* FROM p JOIN f USING (x)),
 i AS (SELECT a.rep AS r1, b.rep AS r2, any_value(a.n) AS n1, any_value(b.n) AS n2, count(*) AS k
       FROM q a JOIN q b ON a.x = b.x AND a.rep < b.rep AND 4 * least(a.n, b.n) >= 3 * greatest(a.n, b.n) GROUP BY 1, 2),

@@ -45,13 +45,12 @@ class Words:
         shift = np.uint64(64 - BITS)
         self.grams = (K.mix(gram) >> shift).astype(np.int32)
         self.gram_edge = np.concatenate([[0], np.cumsum(self.end - self.start)])
-        prefix = K.rolling(flat)
         self.affixes = []
         for k in (1, 2, 3):
-            head = K.span_hash(prefix, self.start, np.minimum(self.start + k, self.end))
-            tail = K.span_hash(prefix, np.maximum(self.end - k, self.start), self.end)
+            head = K.span_hash(flat, self.start, np.minimum(self.start + k, self.end))
+            tail = K.span_hash(flat, np.maximum(self.end - k, self.start), self.end)
             self.affixes += [(K.mix(head + np.uint64(k)) >> shift).astype(np.int32), (K.mix(tail + np.uint64(k + 8)) >> shift).astype(np.int32)]
-        self.hash = K.span_hash(prefix, self.start, self.end)
+        self.hash = K.span_hash(flat, self.start, self.end)
 
 
 class Crf:

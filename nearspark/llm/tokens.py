@@ -35,9 +35,9 @@ class Counter:
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.letters = "".join(_byte_letters())
         self.proved = self._prove()
-        self.merged: dict[int, int] = {}
+        self.merged: dict[bytes, int] = {}
 
-    def _prove(self) -> dict[int, int]:
+    def _prove(self) -> dict[bytes, int]:
         back = {c: b for b, c in enumerate(self.letters)}
         texts = []
         for token in self.lib.get_vocab(with_added_tokens=False):
@@ -46,8 +46,7 @@ class Counter:
             except (KeyError, UnicodeDecodeError):
                 continue
         texts = [t for t, e in zip(texts, self.lib.encode_batch(texts, add_special_tokens=False)) if len(e.ids) == 1]
-        data, off = common.spaced(pa.array(texts))
-        return dict.fromkeys(K.span_hash(K.rolling(data), off[:-1], off[1:] - 1).tolist(), 1)
+        return dict.fromkeys((t.encode() for t in texts), 1)
 
     def _classify(self, points: np.ndarray) -> None:
         split = self.lib.pre_tokenizer.pre_tokenize_str
@@ -120,17 +119,25 @@ class Counter:
         stop = np.append(begin[1:], n)
         stop = np.minimum(stop, ends[row]) if len(begin) else stop[:0]
         lo, hi = at[begin], at[stop]
-        hashes, first, inverse = np.unique(K.span_hash(K.rolling(data), lo, hi), return_index=True, return_inverse=True)
+        # equal pre-tokens are counted once: by hash, and by their bytes where a hash stands for several
+        _, first, inverse = np.unique(K.span_hash(data, lo, hi), return_index=True, return_inverse=True)
+        like = first[inverse]
+        alone = np.flatnonzero(~K.same_spans(data, lo, hi, lo[like], hi[like]))
+        inverse[alone] = len(first) + np.arange(len(alone))
+        first = np.concatenate([first, alone])
         if len(self.merged) > REMEMBERED:
             self.merged.clear()
-        counts = np.fromiter(map(self._known, hashes.tolist()), np.int64, len(hashes))
-        for k in np.flatnonzero(counts == 0).tolist():
-            i = first[k]
-            counts[k] = self.merged[int(hashes[k])] = self._merge(data[lo[i] : hi[i]].tobytes())
+        raw = data.tobytes()
+        counts = np.fromiter((self._count_one(raw[a:b]) for a, b in zip(lo[first].tolist(), hi[first].tolist())), np.int64, len(first))
         return np.bincount(row, counts[inverse], rows).astype(np.int64)
 
-    def _known(self, h: int) -> int:
-        return self.proved.get(h) or self.merged.get(h, 0)
+    def _count_one(self, piece: bytes) -> int:
+        n = self.proved.get(piece) or self.merged.get(piece)
+        if n is None:
+            n = self._merge(piece)
+            if len(piece) <= K.LONG:
+                self.merged[piece] = n
+        return n
 
     def _merge(self, piece: bytes) -> int:
         return len(self.lib.model.tokenize(piece.decode("latin-1").translate(self.letters)))

@@ -63,8 +63,8 @@ def shingles(t: str | None) -> set:
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
 
 
-@pytest.mark.parametrize("crowd", [64, 2])
-def test_jaccard_join(docs, none, crowd):
+@pytest.mark.parametrize("crowd, large", [(64, 250_000), (2, 0)])
+def test_jaccard_join(docs, none, crowd, large):
     sets = {r.doc_id: shingles(r.text) for r in docs.where("doc_id is not null").collect()}
     root = {i: i for i in sets}
 
@@ -79,13 +79,61 @@ def test_jaccard_join(docs, none, crowd):
             if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, crowd=crowd).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs, crowd=crowd, large=large).collect()}
     assert {i: got[i] for i in sets} == {i: (len(sets[i]), find(i)) for i in sets}
     assert got[None][1] is None
     if crowd == 2:
         assert jaccard.join(none).count() == 0
 
 
+def thue_morse(n: int) -> str:
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_of_equal_structure_differ(spark):
+    pairs = [(w, w.translate(str.maketrans("ab", "ba"))) for w in map(thue_morse, (64, 1024, 8192))]
+    rows = [(i, w) for i, w in enumerate(x for p in pairs for x in p)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(6)]
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), tokens.counter(path)
+    import pyarrow as pa
+
+    texts = [" ".join(p) for p in pairs]
+    assert own.count(pa.array(texts)).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_jaccard_cells_keep_every_link(spark):
+    # many versions of a few texts, most of them out of reach of each other: regions are divided at once and again
+    rng, rows = random.Random(12), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+        for _ in range(70):
+            w = list(base)
+            for k in rng.sample(range(120), rng.choice([1, 3, 4, 5, 6, 8])):
+                w[k] = f"w{rng.randrange(5000)}"
+            rows.append(" ".join(w))
+    sets = [shingles(t) for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for crowd, large in ((64, 0), (2, 500)):
+        assert {r.doc_id: r.component_id for r in jaccard.join(df, crowd=crowd, large=large).collect()} == dict(enumerate(root))
+
+
+def test_jaccard_ids_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(1, a), (2, b), (5, b), (5, a), (7, c)]
+    got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (5, 1), (7, 7)} and len(got) == 5
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs).collect()
     assert len(rows) == docs.count() and all(r.taken in (0, r.size, 2 * r.size) for r in rows)
