@@ -51,7 +51,9 @@ MASK_BITS = (256, 1 << 16)
 #: Pairs to look at in a region from which on it is divided, pivots it is divided by, and points of a side that one task compares.
 LARGE = 250_000
 FAN = 8
-SIDE = 4096
+SIDE = 2048
+#: Pairs that numpy looks at together.
+BLOCK = 1 << 18
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -268,10 +270,10 @@ class _Known:
         own = rows.groupBy("cell", "pivot").agg(F.count("*").alias("points")).join(self.labels.select(F.col("node").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
         own = stage(own.where("points > 1"), "jaccard-own")
         hot = F.col("points") * common.HOT_PART > most
-        counts = common.hot_join(rows, own.drop("pivot"), ["cell"], hot).where("label != own").groupBy("cell").agg(F.count("*").alias("others"))
-        own_ = own.join(counts, "cell").withColumn("work", F.col("points") * F.col("others")).drop("pivot")
-        out = stage(common.hot_join(rows, own_, ["cell"], hot), "jaccard-weighed")
-        unstage(rows, own)
+        counts = stage(common.hot_join(rows, own.drop("pivot"), ["cell"], hot).where("label != own").groupBy("cell").agg(F.count("*").alias("others")), "jaccard-others")
+        sizes = stage(own.join(counts, "cell").withColumn("work", F.col("points") * F.col("others")).drop("pivot"), "jaccard-sizes")
+        out = stage(common.hot_join(rows, sizes, ["cell"], hot), "jaccard-weighed")
+        unstage(rows, own, counts, sizes)
         return out
 
 
@@ -304,37 +306,43 @@ def _compare(cells: DataFrame, info: DataFrame) -> DataFrame:
     keys = ["cell", "i", "j"]
     dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys)
 
-    def pairs_of(b: pa.Table) -> tuple[list, list]:
+    def pairs_of(b: pa.Table) -> pa.RecordBatch:
         asks = b.column("asks").to_numpy()
         node, n, lo, hi, label = (b.column(c).to_numpy() for c in value[:5])
         masks = [np.frombuffer(m.as_buffer(), np.uint64) for m in b.column("mask").combine_chunks()]
         words = np.array([len(m) for m in masks])
-        other = np.zeros(len(node), bool)
-        other[np.isin(node, node[asks])] = True
-        targets = {w: (at := np.flatnonzero(~asks & (words == w)), np.stack([masks[i] for i in at])) for w in np.unique(words[~asks]).tolist()}
-        x, y = [], []
-        for i in np.flatnonzero(asks).tolist():
-            for w, (at, table) in targets.items():
-                # a pair of two others is looked at from its smaller side
-                fits = (label[at] != label[i]) & (~other[at] | (node[at] > node[i])) & (DEN * np.minimum(n[at], n[i]) >= NUM * np.maximum(n[at], n[i]))
-                fits &= (lo[at] <= hi[i] + REACH + _EPS) & (lo[i] <= hi[at] + REACH + _EPS)
-                pick = np.flatnonzero(fits)
-                if not len(pick):
-                    continue
-                width = min(w, len(masks[i]))
-                differ = np.bitwise_count(_folded(table[pick], width) ^ _folded(masks[i], width)).sum(axis=1, dtype=np.int64)
-                good = node[at[pick[_may_link(n[at[pick]] + n[i], differ)]]]
-                x += np.minimum(good, node[i]).tolist()
-                y += np.maximum(good, node[i]).tolist()
-        return x, y
+        tables = {}  # per width the masks that have it or, folded, twice of it: sets of sizes that fit have no others
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero((words == w) | (words == 2 * w))
+            place = np.zeros(len(node), np.int64)
+            place[own] = np.arange(len(own))
+            tables[w] = np.stack([_folded(masks[k], w) for k in own.tolist()]), place
+        other = np.isin(node, node[asks])
+        found = [(np.empty(0, np.int64),) * 2]
+        at = np.flatnonzero(~asks)
+        block = max(1, BLOCK // max(len(at), 1))
+        ask = np.flatnonzero(asks)
+        for p in range(0, len(ask), block):
+            i = ask[p : p + block, None]
+            # a pair of two others is looked at from its smaller side
+            fits = (label[at] != label[i]) & (~other[at] | (node[at] > node[i])) & (DEN * np.minimum(n[at], n[i]) >= NUM * np.maximum(n[at], n[i]))
+            fits &= (lo[at] <= hi[i] + REACH + _EPS) & (lo[i] <= hi[at] + REACH + _EPS)
+            x, y = np.nonzero(fits)
+            x, y = ask[p + x], at[y]
+            width = np.minimum(words[x], words[y])
+            for w in np.unique(width).tolist():
+                table, place = tables[w]
+                u, v = x[width == w], y[width == w]
+                for k in range(0, len(u), SIDE):
+                    c, d = u[k : k + SIDE], v[k : k + SIDE]
+                    good = _may_link(n[c] + n[d], np.bitwise_count(table[place[c]] ^ table[place[d]]).sum(axis=1, dtype=np.int64))
+                    found.append((node[c[good]], node[d[good]]))
+        x, y = (np.concatenate(c) for c in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["pivot", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []  # one task's points of a cell at most, and one batch
 
-        def done(t: pa.Table) -> pa.RecordBatch:
-            x, y = pairs_of(t)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["pivot", "node"])
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -345,10 +353,10 @@ def _compare(cells: DataFrame, info: DataFrame) -> DataFrame:
             cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in k])) + 1
             edges = [0, *cuts.tolist()]
             for lo, hi in zip(edges, edges[1:]):
-                yield done(t.slice(lo, hi - lo))
+                yield pairs_of(t.slice(lo, hi - lo))
             waiting = [t.slice(edges[-1])]
         if waiting:
-            yield done(waiting[0])
+            yield pairs_of(waiting[0])
 
     return dealt.mapInArrow(run, "pivot long, node long").distinct()
 
@@ -406,9 +414,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     cells = final[0]
     for f in final[1:]:
         cells = cells.unionByName(f)
-    if len(final) > 1:  # labels have grown since
-        cells = known.weighed(cells.select("cell", "pivot", "node", "lo", "hi"))
-        levels.append(cells)
     pairs = _compare(cells, info)
     seen = [m.select(*c) for m in known.measured for c in (("pivot", "node"), (F.col("node").alias("pivot"), F.col("pivot").alias("node")))]
     for m in seen:

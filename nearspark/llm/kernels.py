@@ -8,7 +8,7 @@ import numpy as np
 
 U = np.uint64
 _SEEDS = np.random.default_rng(20240607).integers(1, 1 << 63, 2, dtype=np.uint64) | U(1)
-_STEP = np.random.default_rng(20240608).integers(1, 1 << 63, 8, dtype=np.uint64) | U(1)
+_STEP = np.random.default_rng(20240608).integers(1, 1 << 63, 16, dtype=np.uint64) | U(1)
 #: Bits of a word's first 0 to 8 bytes.
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 #: Words longer than this many bytes are hashed by BLAKE2b.
@@ -84,7 +84,7 @@ def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray, seed: int = 0)
 
 
 def shingles(data: np.ndarray, off: np.ndarray, n: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per row the distinct hashes of n-word shingles, ascending: hashes, row of each, first of each row.
+    """Per row the distinct hashes of n-word shingles (n at most 16), ascending: hashes, row of each, first of each row.
 
     A row with fewer words has its whole sequence as one shingle; a row without words has none.
     """
@@ -97,7 +97,8 @@ def shingles(data: np.ndarray, off: np.ndarray, n: int = 5, seed: int = 0) -> tu
     at = np.flatnonzero(full)
     h = np.zeros(len(at), np.uint64)
     for k in range(n):
-        h = mix(h * _STEP[0] + w[at + k])
+        h += w[at + k] * _STEP[k]
+    h = mix(h)
     short = np.flatnonzero((count > 0) & (count < n))
     part = count[short].astype(np.uint64) * _STEP[7]
     for k in range(n - 1):
