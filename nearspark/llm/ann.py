@@ -161,7 +161,7 @@ def search(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vector_c
     An empty table gives no rows. Equal vectors are dealt over several blocks by id.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].alias("v")).where("vec_id is not null").where(takes_part(F.col("v")))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("v")).where("vec_id is not null").where(takes_part(F.col("v")))
     widths = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").limit(1).collect()
     width, total = (widths[0].w, widths[0]["count"]) if widths else (1, 0)
     rows = rows.where(F.size("v") == width)

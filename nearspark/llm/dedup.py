@@ -64,8 +64,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     the same id and text are counted in group_size and all carry the id's decision;
     drop_copies lets one of them through. Other columns aren't read.
     """
-    text = docs[text_col]
-    keys = stage(docs.select(docs[id_col].alias("id"), F.sha2(normalised(text), 256).alias("sha"), F.char_length(F.coalesce(text, F.lit(""))).alias("n")), "dedup-keys")
+    text = F.col(f"`{text_col}`")
+    keys = stage(docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(normalised(text), 256).alias("sha"), F.char_length(F.coalesce(text, F.lit(""))).alias("n")), "dedup-keys")
     bits = bloom_bits(keys.count())
     twice = bloom(keys, F.col("sha"), bits, least=2)
     seen = might_contain(keys, F.col("sha"), twice, bits, "maybe")
@@ -94,7 +94,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     bits = bloom_bits(decide.count())
     # the documents' own columns travel in one struct, so that their names can't clash with ours
-    rows = docs.select(as_row(docs), docs[id_col].alias("id"), docs[text_col].alias("text"), F.coalesce(docs[id_col].cast("string"), F.lit("")).alias("key"))
+    rows = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("key"))
     seen = might_contain(rows, F.col("key"), bloom(decide, F.coalesce(F.col("__id").cast("string"), F.lit("")), bits), bits, "maybe")
     straight = seen.where(~F.col("maybe")).select("row.*")
     hashed = seen.where("maybe").select("row", "id", F.sha2(normalised(F.col("text")), 256).alias("own"))
@@ -112,7 +112,7 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     """``docs`` without the rows that have one of ``ids`` (one column). Only rows that a Bloom table of the ids may hold are shuffled."""
     gone = stage(ids.toDF("__id").where("__id is not null").distinct(), "without")
     bits = bloom_bits(gone.count())
-    seen = might_contain(docs.select(as_row(docs), docs[id_col].alias("id")), F.col("id"), bloom(gone, F.col("__id"), bits), bits, "maybe")
+    seen = might_contain(docs.select(as_row(docs), F.col(f"`{id_col}`").alias("id")), F.col("id"), bloom(gone, F.col("__id"), bits), bits, "maybe")
     checked = seen.where("maybe").join(gone, F.col("id") == F.col("__id"), "left_anti")
     return seen.where(~F.col("maybe")).select("row.*").unionByName(checked.select("row.*"))
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import common, kernels as K
 
@@ -20,6 +20,8 @@ from . import common, kernels as K
 BITS = 18
 #: Labelled rows that training looks at, the first in hash order of their ids, and bytes of text that it uses of them at most; each text is used whole.
 TRAIN_ROWS = 4000
+#: Of them for one language; Spark keeps so many of each partition before it shuffles.
+LANG_ROWS = 1000
 TRAIN_BYTES = 8_000_000
 #: Words of a training sequence, and of the stretch it takes from one document.
 LENGTH, STRETCH = 96, 24
@@ -248,11 +250,13 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Rows that are equal in id, text and language count once. A text larger than ``TRAIN_BYTES``
     is passed over, so a language that has no other isn't learnt.
     """
-    known = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].alias("lang"))
+    known = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     known = known.where("id is not null and text is not null and lang is not null and pmod(crc32(cast(id as string)), 4) != 2")
     known = known.withColumns({"size": F.octet_length("text"), "code": F.xxhash64("text")}).where(F.col("size") <= TRAIN_BYTES)
     key = ["id", "lang", "code", "size"]
-    picked = known.select(*key).orderBy(F.xxhash64("id"), *key).limit(rows).toArrow()  # at most ``rows`` rows without texts
+    # the first of every language in hash order, then the second of each, and so on: a rare language is learnt, too
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), *key))
+    picked = known.select(*key).withColumn("turn", turn).where(F.col("turn") <= LANG_ROWS).orderBy("turn", F.xxhash64("id"), *key).limit(rows).drop("turn").toArrow()  # at most ``rows`` rows without texts
     picked = picked.take(pa.array(choose(picked.to_pylist(), TRAIN_BYTES), pa.int64()))
     chosen = docs.sparkSession.createDataFrame(picked)
     got = known.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key).select("id", "text", "lang").toArrow()  # at most TRAIN_BYTES of text
@@ -289,7 +293,7 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
                     lang, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
-    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kept = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 

@@ -85,8 +85,8 @@ class Plan:
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE):
         self.spark, self.cols = docs.sparkSession, (id_col, text_col, source_col)
-        s = F.coalesce(F.concat(F.lit("s"), docs[source_col]), F.lit("n"))  # joins and groups don't treat null apart
-        self.keys = stage(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), s.alias("s"), n_words(docs[text_col]).alias("size"), _key(docs[id_col]).alias("key")), "mix-keys")
+        s = F.coalesce(F.concat(F.lit("s"), F.col(f"`{source_col}`")), F.lit("n"))  # joins and groups don't treat null apart
+        self.keys = stage(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), s.alias("s"), n_words(F.col(f"`{text_col}`")).alias("size"), _key(F.col(f"`{id_col}`")).alias("key")), "mix-keys")
         rows = self.keys.groupBy("s").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
         if len(rows) > MOST_SOURCES:
             raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -127,8 +127,8 @@ class Plan:
     def mixed(self, docs: DataFrame) -> DataFrame:
         """``docs`` as the mix takes them: rows left out or repeated. No text is shuffled."""
         i, t, src = self.cols
-        s = F.coalesce(F.concat(F.lit("s"), docs[src]), F.lit("n"))
-        rows = docs.select(dedup.as_row(docs), s.alias("__src"), n_words(docs[t]).alias("size"), _key(docs[i]).alias("key"))
+        s = F.coalesce(F.concat(F.lit("s"), F.col(f"`{src}`")), F.lit("n"))
+        rows = docs.select(dedup.as_row(docs), s.alias("__src"), n_words(F.col(f"`{t}`")).alias("size"), _key(F.col(f"`{i}`")).alias("key"))
         out = self.copies(rows, F.col("__src"), F.col("size"), F.col("key"))
         return out.select("row", F.explode(F.expr("array_repeat(0, __copies)")).alias("repeat")).select("row.*")
 

@@ -260,7 +260,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     table stays empty. Nothing is shuffled. A text's own U+2581 reads as a space, as in the library.
     """
     columns = [c for c in docs.columns if c != ids_col]
-    rest = docs.select(*[docs[c] for c in columns])
+    rest = docs.select(*[F.col(f"`{c}`") for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
@@ -282,7 +282,7 @@ def _lists(found: list[list[int]]) -> pa.Array:
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``df`` with the text of every array of ids (null ids: an empty text)."""
     columns = [c for c in df.columns if c != text_col]
-    rest = df.select(*[df[c] for c in columns])
+    rest = df.select(*[F.col(f"`{c}`") for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
@@ -301,7 +301,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     Each text is encoded and its ids decoded in one pass over its Arrow batch. Null and
     empty texts have no ids and are exact.
     """
-    rest = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    rest = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)

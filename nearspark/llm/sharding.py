@@ -135,8 +135,8 @@ def propagate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     other; a null id and repeated rows get places of their own; with fewer documents than
     shards the last shards are empty; an empty table gives no rows. Other columns aren't read.
     """
-    text = F.coalesce(docs[text_col], F.lit(""))
-    base = stage(docs.select(docs[id_col].alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("g"), F.monotonically_increasing_id().alias("row")), "shard-rows")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    base = stage(docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("g"), F.monotonically_increasing_id().alias("row")), "shard-rows")
     total = base.count()
     many = stage(base.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
     own = (F.pmod(F.xxhash64("id", "row"), F.lit(shards))).cast("int")

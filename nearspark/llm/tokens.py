@@ -176,6 +176,6 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
                 size = pa.compute.fill_null(pa.compute.binary_length(part.column("text")), 0).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("id"), size, pa.array(n), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
-    kept = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    kept = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     kind = kept.schema["id"].dataType.simpleString()
     return kept.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import common, kernels as K
@@ -15,11 +14,12 @@ from . import common, kernels as K
 BITS = 22
 #: Labelled rows that training uses at most, the first in hash order of their ids; each is used whole.
 TRAIN_ROWS = 16_000
-#: Their text that training holds at most, in bytes.
+#: Bytes of their texts at most; a text that doesn't fit is passed over. What reaches the driver is less: numbers of supported features.
 TRAIN_BYTES = 96_000_000
 #: Training rows that a feature must be in.
 SUPPORT = 4
 HELD_OUT = 2
+EPOCHS = 3
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,7 +49,7 @@ def _distinct(row: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndar
 class Ftrl:
     """FTRL-proximal with per-coordinate rates and L1 sparsity; features are present or not."""
 
-    def __init__(self, size: int, alpha: float = 0.6, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
+    def __init__(self, size: int, alpha: float = 2.4, beta: float = 1.0, l1: float = 8.0, l2: float = 1.0):
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z, self.n = np.zeros(size), np.zeros(size)
         self.z0 = self.n0 = 0.0
@@ -73,59 +73,84 @@ class Ftrl:
         self.n0 += g * g
 
 
-def _bags(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Slice by slice: distinct (row, feature) pairs and the number of rows."""
-    for part in common.text_slices(pa.record_batch({"text": texts})):
-        yield *_distinct(*features(*common.spaced(part.column("text")))), part.num_rows
-
-
-def train(texts: pa.Array, labels: list[int], epochs: int = 3, **options) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features with a weight, ascending, their weights, and the bias. Fewer than two labels: the bias alone.
-
-    Texts are gone through twice, so that the driver never holds features without enough support.
-    """
-    support = np.zeros(1 << BITS, np.int32)
-    for _, at, _ in _bags(texts):
-        seen, count = np.unique(at, return_counts=True)
-        support[seen] += count.astype(np.int32)
-    known = np.flatnonzero(support >= SUPPORT)
-    place = np.full(1 << BITS, -1, np.int32)
+def train(bags: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, **options) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features with a weight, ascending, their weights, and the bias, from each row's features. No rows: the bias alone."""
+    known = np.unique(np.concatenate(bags)) if bags else np.empty(0, np.int32)
+    place = np.zeros(1 << BITS, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
-    del support
-    docs = []
-    for row, at, rows in _bags(texts):
-        at = place[at]
-        row, at = row[at >= 0], at[at >= 0]
-        docs += np.split(at, np.searchsorted(row, np.arange(1, rows)))
-    del place
     model = Ftrl(len(known), **options)
     order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(docs)).tolist():
-            model.learn(docs[i], int(labels[i]))
+        for i in order.permutation(len(bags)).tolist():
+            model.learn(place[bags[i]], int(labels[i]))
     kept = np.flatnonzero(np.abs(model.z) > model.l1)
     return known[kept], model._weights(kept).astype(np.float32), model.bias()
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Train on at most ``rows`` labelled rows whose crc32(id) mod 4 is not 2.
+def bags(rows: DataFrame) -> DataFrame:
+    """(row, label, features): the distinct features of each row's text (row, label, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.text_slices(batch):
+                row, at = _distinct(*features(*common.spaced(part.column("text"))))
+                off = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("label"), pa.ListArray.from_arrays(pa.array(off), pa.array(at.astype(np.int32)))], ["row", "label", "features"])
+
+    return rows.mapInArrow(run, "row long, label int, features array<int>")
+
+
+def _supported(found: DataFrame, least: int) -> DataFrame:
+    """``found`` without the features of fewer than ``least`` rows."""
+    count = found.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    mark = np.zeros(1 << BITS, bool)
+    mark[count.select("f").toArrow().column("f").to_numpy()] = True  # at most 2**BITS numbers
+    held = found.sparkSession.sparkContext.broadcast(np.packbits(mark))
 
-    Rows with a null label, id or text are left out, as are ids labelled both ways; rows are in hash order of id, so
-    reruns agree. The sample is taken whole, by its own bounds, not by the size of the input.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(held.value).astype(bool)
+        for b in batches:
+            lists = b.column("features")
+            at = lists.flatten().to_numpy()
+            hit = keep[at]
+            edge = np.concatenate([[0], np.cumsum(hit)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("label"), pa.ListArray.from_arrays(pa.array(edge), pa.array(at[hit]))], b.schema.names)
+
+    return found.mapInArrow(run, found.schema)
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
+    """(row, label, text) of the training rows: at most ``rows`` labelled ids in hash order, and TRAIN_BYTES of text.
+
+    Rows whose crc32(id) mod 4 is 2 are held out. Rows with a null label, id or text are left
+    out, as are ids labelled both ways; rows repeated with one id and text count once.
     """
-    known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null and pmod(crc32(cast(id as string)), 4) != 2")
+    spark = docs.sparkSession
+    known = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(f"id is not null and label is not null and pmod(crc32(cast(id as string)), 4) != {HELD_OUT}")
     known = known.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
-    known = known.orderBy(F.xxhash64("id"), "id").limit(rows)
-    text = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("text is not null")
-    got = text.join(F.broadcast(known), "id").select("id", "label", "text").toArrow().sort_by("id")  # at most ``rows`` ids are broadcast
-    size = np.cumsum(pa.compute.binary_length(got.column("text")).to_numpy())
-    got = got.slice(0, int(np.searchsorted(size, TRAIN_BYTES, side="right")))
-    texts, known = got.column("text"), got.column("label").to_pylist()
-    del got, size
-    texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
-    common.trim()
-    model = train(texts, known)
-    del texts
+    known = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(rows))  # at most ``rows`` ids
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null").withColumn("code", F.xxhash64("text"))
+    # sizes first: texts are read again, and only those that fit
+    sizes = text.join(known, "id").groupBy("id", "label", "code").agg(F.max(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("id"), "id", "code").limit(rows).toArrow()
+    taken, left = [], TRAIN_BYTES
+    for i, size in enumerate(sizes.column("size").to_pylist()):
+        if size <= left:
+            taken.append(i)
+            left -= size
+    chosen = sizes.select(["id", "label", "code"]).take(pa.array(taken, pa.int64())).append_column("row", pa.array(np.arange(len(taken))))
+    return text.join(F.broadcast(spark.createDataFrame(chosen)), ["id", "code"]).dropDuplicates(["row"]).select("row", "label", "text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Train on the rows of sample(). Texts become features, and features without support go, in the executors."""
+    found = common.stage(bags(sample(docs, labels, id_col, text_col, label_col, rows)), "toxicity-bags")
+    got = _supported(found, SUPPORT).toArrow()
+    common.unstage(found)
+    order = np.argsort(got.column("row").to_numpy(), kind="stable")
+    lists = [x.values.to_numpy()[a:b] for x in got.column("features").chunks for a, b in zip(x.offsets[:-1].to_pylist(), x.offsets[1:].to_pylist())]
+    label = got.column("label").to_numpy()[order].tolist()
+    model = train([lists[i] for i in order.tolist()], label)
+    del got, lists
     common.trim()
     return model
 
@@ -139,7 +164,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # at most 2**BITS weights, and L1 leaves few of them
     columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    rest = docs.select(*[docs[c] for c in columns])
+    rest = docs.select(*[F.col(f"`{c}`") for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, weight, bias = held.value

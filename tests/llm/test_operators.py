@@ -233,6 +233,32 @@ def test_toxicity(spark, docs, none):
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.97
+    # training against the same rule applied one row at a time, features and all
+    texts = [r[1] for r in rows]
+    plain = toxicity.sample(d, y).orderBy("row").collect()
+    assert {r.row for r in plain} == set(range(len(plain))) and all(zlib.crc32(str(texts.index(r.text)).encode()) % 4 != 2 for r in plain)
+    found = {r.row: r.features for r in toxicity.bags(toxicity.sample(d, y)).collect()}
+    for r in plain[:50]:
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in re.findall("[A-Za-z]+", r.text)]
+        want = {(x,) for x in w} | set(zip(w, w[1:])) | set(zip(w, [None] * 99, w[2:])) | set(zip(w, w[1:], w[2:]))
+        assert len(found[r.row]) == len(want)
+    count = Counter(f for x in found.values() for f in x)
+    bags = [np.array([f for f in found[r.row] if count[f] >= toxicity.SUPPORT], np.int32) for r in plain]
+    at, weight, bias = toxicity.fit(d, y)
+    z, n, z0, n0, a, l1 = defaultdict(float), defaultdict(float), 0.0, 0.0, 2.4, 8.0
+    wz = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((1 + np.sqrt(n[f])) / a + 1)
+    order = np.random.default_rng(7)
+    for _ in range(toxicity.EPOCHS):
+        for i in order.permutation(len(bags)).tolist():
+            own, b = {f: wz(f) for f in bags[i].tolist()}, -z0 / ((1 + np.sqrt(n0)) / a)
+            g = 1 / (1 + np.exp(-(sum(own.values()) + b))) - plain[i].label
+            if abs(g) >= 1e-4:
+                for f, w in own.items():
+                    z[f] += g - (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / a * w
+                    n[f] += g * g
+                z0 += g - (np.sqrt(n0 + g * g) - np.sqrt(n0)) / a * b
+                n0 += g * g
+    assert {f for f in z if abs(z[f]) > l1} == set(at.tolist()) and np.allclose([wz(f) for f in at.tolist()], weight, atol=1e-4)
     model = toxicity.fit(docs, y.where("false"))
     assert toxicity.score(docs, model).count() == docs.count() and toxicity.score(none, model).count() == 0
 
