@@ -7,12 +7,12 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that one numpy pass looks at; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
@@ -106,11 +106,30 @@ def trim() -> None:
         give(0)
 
 
+def with_columns(docs: DataFrame, text_col: str, run: Callable, new: T.StructType, after: Callable = lambda: None) -> DataFrame:
+    """``docs`` with the columns that ``run`` gives for each Arrow array of ``text_col``'s values (any names; columns named like new ones are replaced)."""
+    names = [c for c in docs.columns if c not in new.names]
+    # numbered columns can't clash, and have no dots, which mapInArrow doesn't take
+    rest = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch):
+                found = run(part.column("text"))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *found], [*part.schema.names[:-1], *(f"n{i}" for i in range(len(found)))])
+        after()  # a task
+        trim()
+
+    fields = [T.StructField(f"n{i}", f.dataType) for i, f in enumerate(new.fields)]
+    return rest.mapInArrow(mapped, T.StructType([*rest.schema.fields[:-1], *fields])).toDF(*names, *new.names)
+
+
 def text_slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text each."""
     if batch.num_rows == 0:
         return
-    size = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False)
+    column = batch.column(col)
+    size = pc.fill_null(pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(size, dtype=np.int64) // limit
     cuts = np.flatnonzero(np.diff(part)) + 1
     for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):

@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
 The lattice of a text has an edge for every vocabulary piece at every position. The
-search keeps one best path into each position of a window no longer than the longest
-piece, and commits ids as soon as all surviving paths run through one boundary.
+search keeps one best path into each position of a window, and commits ids as soon as all
+surviving paths run through one boundary. Some boundaries are known beforehand: no piece of
+the model crosses the place before a space mark, so every path runs through it. The ids
+between two of them are the search's own, and a worker remembers them for the next time.
 
 How paths compare depends on the model. In a unigram model the largest sum of scores
 wins. In a BPE model an edge survives only if its piece and the path's last piece are
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ SPACE = "▁"
 #: Stretches that a generation of a worker's memory holds, for one task, and neighbour pairs that a worker keeps.
 REMEMBERED = 250_000
 PAIRS = 2_000_000
-#: Longer stretches are searched by the streaming class.
+#: Characters that are pushed at a time, and of the longest stretch that is remembered.
+CHUNK = 1024
 WINDOW = 64
 BPE, UNIGRAM = 2, 1
 #: A word and the marks after it.
@@ -35,61 +38,101 @@ TAIL = re.compile(r"(.*\w)(\W+)")
 
 
 class Viterbi:
-    """One text's search; push() takes characters and returns the ids committed so far, finish() the rest."""
+    """One text's search; push() takes characters and returns the ids committed so far, finish() the rest.
+
+    The window holds one path into each position. Paths grow forward along the pieces' trie;
+    a position is left once the longest piece from it is known to be in the window. Where no
+    path reaches beyond the position that is left, or the paths into all open positions have
+    one boundary behind them, all paths have converged: the ids before it are committed and
+    the window starts there.
+    """
+
+    __slots__ = ("model", "text", "at", "far", "score", "last", "start")
 
     def __init__(self, model: Model):
-        self.model, self.base, self.text = model, 0, ""
-        # per position of the window: (score, start of last piece, id or None for bytes), or None if no path arrives
-        self.paths: list[tuple | None] = [(0.0, 0, -1)]
+        self.model, self.text, self.at, self.far = model, "", 0, 0
+        # per position of the window, if a path arrives there: its score, its last piece (-1: none, -2: a character of no piece) and where that starts
+        self.score: list[float] = [0.0]
+        self.last: list[int | None] = [-1]
+        self.start: list[int] = [0]
 
     def push(self, chars: str) -> list[int]:
-        m, out = self.model, []
-        for c in chars:
-            self.text += c
-            end = len(self.text)
-            best = None
-            for size in range(1, min(m.longest, end) + 1):
-                before = self.paths[end - size]
-                if before is None:
-                    continue
-                piece = m.ids.get(self.text[end - size :]) if size > 1 or c in m.known else -2
-                if piece is None:
-                    continue
-                score = m.extend(before, piece, c)
-                if score is not None and (best is None or score > best[0]):
-                    best = (score, end - size, piece)
-            self.paths.append(best)
-            if end >= 2 * m.longest:
-                out += self._commit(end)
-        return out
+        self.text += chars
+        return self._search(len(self.text) - self.model.longest)
 
-    def _commit(self, end: int) -> list[int]:
-        """Ids up to the last boundary that every path into the last ``longest`` positions shares."""
-        at = {p for p in range(end - self.model.longest + 1, end + 1) if self.paths[p] is not None}
-        while len(at) > 1:
-            p = max(at)
-            at.discard(p)
-            at.add(self.paths[p][1])
-        cut = at.pop()
-        if not cut:
-            return []
-        out = self._trace(cut)
-        self.text = self.text[cut:]
-        self.paths = [None if p is None else (p[0], p[1] - cut, p[2]) for p in self.paths[cut:]]
-        self.paths[0] = (self.paths[0][0], 0, self.paths[0][2])
+    def finish(self) -> list[int]:
+        out = self._search(len(self.text))
+        return out + self._trace(0, len(self.text))
+
+    def _search(self, stop: int) -> list[int]:
+        """Leave all positions before ``stop``; the ids committed by that."""
+        m, text, n = self.model, self.text, len(self.text)
+        score, last, start, far, base = self.score, self.last, self.start, self.far, 0
+        more = n + 1 - len(last)
+        score += [0.0] * more
+        last += [None] * more
+        start += [0] * more
+        trie, pairs, bpe, out = m.trie, m.pairs, m.kind == BPE, []
+        at = self.at
+        for i in range(at, max(at, stop)):
+            before = last[i]
+            if before is None:
+                continue
+            if i == far and i > base:
+                out += self._trace(base, i)
+                base = i
+            node = trie.get(text[i])
+            if node is None or 0 not in node:  # a character of no piece: its bytes
+                own = score[i] + m.worst
+                if last[i + 1] is None or not bpe and own > score[i + 1]:
+                    score[i + 1], last[i + 1], start[i + 1] = own, -2, i
+                if far <= i:
+                    far = i + 1
+            k = i
+            while node is not None:
+                k += 1
+                piece = node.get(0)
+                if piece is not None:
+                    if bpe:  # one path survives at each position
+                        if last[k] is None:
+                            ok = before < 0 or pairs.get(before << 32 | piece)
+                            if ok or ok is None and m.neighbours(before, piece):
+                                last[k], start[k] = piece, i
+                                if k > far:
+                                    far = k
+                    else:
+                        own = score[i] + m.score[piece]
+                        if last[k] is None or own > score[k]:
+                            score[k], last[k], start[k] = own, piece, i
+                            if k > far:
+                                far = k
+                node = node.get(text[k]) if k < n else None
+        at = max(at, stop)
+        if n - base >= 3 * m.longest:  # paths that overlap may have one boundary behind them all the same
+            open_ = {k for k in range(at, far + 1) if last[k] is not None}
+            while len(open_) > 1 and max(open_) > base:
+                k = max(open_)
+                open_.discard(k)
+                open_.add(start[k])
+            if (cut := max(open_)) > base:
+                out += self._trace(base, cut)
+                base = cut
+        if base:  # the window starts at the last boundary
+            self.text = text[base:]
+            del score[:base], last[:base], start[:base]
+            self.start = [x - base for x in start]
+            self.start[0] = 0
+        self.at, self.far = at - base, far - base
         return out
 
-    def _trace(self, end: int) -> list[int]:
+    def _trace(self, base: int, end: int) -> list[int]:
         out: list[int] = []
-        while end:
-            _, start, piece = self.paths[end]
-            out += [piece] if piece >= 0 else self.model.bytes_of(self.text[start:end])[::-1]
-            end = start
+        while end > base:
+            piece = self.last[end]
+            out += [piece] if piece >= 0 else self.model.bytes_of(self.text[self.start[end] : end])[::-1]
+            end = self.start[end]
         return out[::-1]
 
-    def finish(self) -> list[int]:
-        return self._trace(len(self.text))
-
 
 class Memory(dict):
     """Ids of the stretches met lately, in two generations; those longer than the window aren't kept."""
@@ -136,11 +179,15 @@ class Model:
         self.byte = {int(p.piece[3:5], 16): i for i, p in enumerate(m.pieces) if p.type == 6}
         self.byte_at = {i: b for b, i in self.byte.items()}
         self.control = {i for i, p in enumerate(m.pieces) if p.type == 3}
-        self.bytes_at = [bytes([self.byte_at[i]]) if i in self.byte_at else b"" if i in self.control else p.encode() for i, p in enumerate(self.pieces)]
         self.unknown = next(i for i, p in enumerate(m.pieces) if p.type == 2)
+        self.bytes_at = [bytes([self.byte_at[i]]) if i in self.byte_at else b"" if i in self.control else p.encode() for i, p in enumerate(self.pieces)]
+        self.bytes_at[self.unknown] = m.trainer_spec.unk_surface.encode()
         self.longest = max(map(len, self.ids))
         self.known = {p for p in self.ids if len(p) == 1}
         self.worst = min(self.score.values()) - 10
+        if self.kind == UNIGRAM:  # sums are rounded as the library's are
+            self.score = {i: np.float32(x) for i, x in self.score.items()}
+            self.worst = np.float32(self.worst)
         self._all = self.ids
         if self.kind == BPE:  # a piece that its own characters don't merge into can't come out of any text
             self.ids = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merge(p) == [p]}
@@ -173,16 +220,7 @@ class Model:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def extend(self, before: tuple, piece: int, char: str) -> float | None:
-        """The score of a path with one more piece (-2: a character of no piece), None if it can't be."""
-        if self.kind != BPE:
-            return before[0] + (self.score[piece] if piece >= 0 else self.worst)
-        last = before[2]
-        if last < 0 or piece < 0:
-            return 0.0
-        return 0.0 if self._neighbours(last, piece) else None
-
-    def _neighbours(self, last: int, piece: int) -> bool:
+    def neighbours(self, last: int, piece: int) -> bool:
         """Whether two pieces are what the merge rules give for the two of them together."""
         ok = self.pairs.get(last << 32 | piece)
         if ok is None:
@@ -192,44 +230,15 @@ class Model:
             ok = self.pairs[last << 32 | piece] = self.merge(a + b) == [a, b]
         return ok
 
-    def _short(self, text: str) -> list[int]:
-        """The search of class Viterbi for a BPE stretch within one window: forward over the pieces' trie, one path per position."""
-        n, trie, pairs = len(text), self.trie, self.pairs
-        last: list[int | None] = [None] * (n + 1)
-        start = [0] * (n + 1)
-        last[0] = -1
-        for i in range(n):
-            before = last[i]
-            if before is None:
-                continue
-            node = trie.get(text[i])
-            if node is None or 0 not in node:  # a character of no piece: its bytes
-                last[i + 1], start[i + 1] = -2, i
-            k = i
-            while node is not None:
-                k += 1
-                piece = node.get(0)
-                if piece is not None and last[k] is None:
-                    ok = before < 0 or pairs.get(before << 32 | piece)
-                    if ok or ok is None and self._neighbours(before, piece):
-                        last[k], start[k] = piece, i
-                node = node.get(text[k]) if k < n else None
-        out: list[int] = []
-        while n:
-            piece = last[n]
-            out += [piece] if piece >= 0 else self.bytes_of(text[start[n] : n])[::-1]
-            n = start[n]
-        return out[::-1]
-
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode()] if self.byte else [self.unknown]
 
     def segment(self, text: str) -> list[int]:
-        """Ids of a stretch that shares its ends with every path."""
-        if len(text) <= WINDOW and self.kind == BPE:
-            return self._short(text)
-        search = Viterbi(self)
-        return search.push(text) + search.finish()
+        """Ids of a stretch that shares its ends with every path: a whole text's, if no boundary in it is known beforehand."""
+        search, out = Viterbi(self), []
+        for lo in range(0, len(text), CHUNK):
+            out += search.push(text[lo : lo + CHUNK])
+        return out + search.finish()
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -239,9 +248,34 @@ class Model:
         return self.segment(text) if self.cut is None else list(chain.from_iterable(map(self.memory.__getitem__, self.cut.findall(text))))
 
     def decode(self, ids: list[int]) -> str:
-        """The text of the ids: byte pieces as UTF-8 (what isn't, as U+FFFD for each byte), without the mark added in front."""
-        text = b"".join(map(self.bytes_at.__getitem__, ids)).decode(errors="replace").replace(SPACE, " ")
-        return text[1:] if self.prefix and text[:1] == " " else text
+        """The text of the ids: byte pieces as UTF-8 (each byte that isn't, as U+FFFD), unknown ids as the model's mark for them, without the space mark added in front."""
+        parts = [self.bytes_at[i] for i in ids]
+        if self.prefix:  # the first piece that isn't a control piece
+            first = next((k for k, i in enumerate(ids) if i not in self.control), None)
+            if first is not None and ids[first] not in self.byte_at and parts[first].startswith(_MARK):
+                parts[first] = parts[first][len(_MARK) :]
+        try:
+            text = b"".join(parts).decode() if self.control.isdisjoint(ids) else None
+        except UnicodeDecodeError:
+            text = None
+        if text is None:  # runs of byte pieces one by one
+            text = "".join(_lenient(b"".join(p for p, _ in run)) for _, run in groupby(zip(parts, ids), lambda x: x[1] in self.byte_at))
+        return text.replace(SPACE, " ")
+
+
+_MARK = SPACE.encode()
+
+
+def _lenient(raw: bytes) -> str:
+    out, at = [], 0
+    while at < len(raw):
+        try:
+            out.append(raw[at:].decode())
+            break
+        except UnicodeDecodeError as e:
+            out.append(raw[at : at + e.start].decode() + "\ufffd")
+            at += e.start + 1
+    return "".join(out)
 
 
 _models: dict[str, Model] = {}
@@ -259,19 +293,11 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     A column named like ``ids_col`` is replaced; repeated rows are encoded each; an empty
     table stays empty. Nothing is shuffled. A text's own U+2581 reads as a space, as in the library.
     """
-    columns = [c for c in docs.columns if c != ids_col]
-    rest = docs.select(*[F.col(f"`{c}`") for c in columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(path)
-        for batch in batches:
-            for part in common.text_slices(batch, text_col):
-                found = [own.encode(t) for t in part.column(text_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(found)], [*columns, ids_col])
-        own.memory.forget()
-        common.trim()
+    def run(texts: pa.Array) -> list[pa.Array]:
+        return [_lists([model(path).encode(t) for t in texts.to_pylist()])]
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return common.with_columns(docs, text_col, run, T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType()))]), lambda: model(path).memory.forget())
 
 
 def _lists(found: list[list[int]]) -> pa.Array:
@@ -280,26 +306,23 @@ def _lists(found: list[list[int]]) -> pa.Array:
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``df`` with the text of every array of ids (null ids: an empty text)."""
-    columns = [c for c in df.columns if c != text_col]
-    rest = df.select(*[F.col(f"`{c}`") for c in columns])
+    """``df`` with the text of every array of ids (null and empty ids: an empty text).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = model(path)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                texts = [own.decode(x or []) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, text_col])
+    A column named like ``text_col`` is replaced; repeated rows are decoded each; an empty table stays empty.
+    """
+
+    def run(ids: pa.Array) -> list[pa.Array]:
+        return [pa.array([model(path).decode(x or []) for x in ids.to_pylist()], pa.string())]
 
-    return rest.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField(text_col, T.StringType())]))
+    return common.with_columns(df, ids_col, run, T.StructType([T.StructField(text_col, T.StringType())]))
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids, n_ids and exact: whether decoding gives the text back (a text's own U+2581 counted as a space).
 
     Each text is encoded and its ids decoded in one pass over its Arrow batch. Null and
-    empty texts have no ids and are exact.
+    empty texts have no ids and are exact. Repeated rows are coded each; an empty table gives
+    no rows; a null id stays null; other columns aren't read.
     """
     rest = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 

@@ -163,26 +163,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)  # at most 2**BITS weights, and L1 leaves few of them
-    columns = [c for c in docs.columns if c not in ("score", "predicted")]
-    rest = docs.select(*[F.col(f"`{c}`") for c in columns])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(texts: pa.Array) -> list[pa.Array]:
         at, weight, bias = held.value
         mark = np.zeros(1 << BITS, np.float32)
         mark[at] = weight
-        for batch in batches:
-            for part in common.text_slices(batch, text_col):
-                data, off = common.spaced(part.column(text_col))
-                row, feature = features(data, off)
-                hit = mark[feature] != 0
-                row, feature = _distinct(row[hit], feature[hit])
-                total = np.bincount(row, mark[feature], part.num_rows) + bias
-                p = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*columns, "score", "predicted"])
-        common.trim()
-
-    schema = T.StructType([*rest.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rest.mapInArrow(run, schema)
+        row, feature = features(*common.spaced(texts))
+        hit = mark[feature] != 0
+        row, feature = _distinct(row[hit], feature[hit])
+        total = np.bincount(row, mark[feature], len(texts)) + bias
+        p = 1 / (1 + np.exp(-np.clip(total, -500, 500)))
+        return [pa.array(p), pa.array((p >= threshold).astype(np.int32))]
+
+    return common.with_columns(docs, text_col, run, T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

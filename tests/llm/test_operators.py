@@ -210,12 +210,45 @@ def test_pieces(docs, none):
             out += search.push(c)
             most = max(most, len(search.text))
         assert out + search.finish() == lib.encode(t) and most <= 4 * own.longest
+        whole = pieces.SPACE + t.replace(" ", pieces.SPACE)
+        assert own.segment(whole) == lib.encode(t)  # no boundary known beforehand
+    for _ in range(2000):
+        ids = [rng.choice([rng.randrange(260), rng.randrange(32000)]) for _ in range(rng.randrange(12))]
+        assert own.decode(ids) == lib.decode(ids), ids
+    coded = pieces.encode(docs.withColumn("a.b", F.lit(1)), path)
+    back = pieces.decode(coded, path, text_col="back").collect()
+    assert all(r.back == (r.text or "").replace(pieces.SPACE, " ") for r in back) and "a.b" in coded.columns
     rows = pieces.round_trip(docs, path).collect()
     text = {r.doc_id: r.text or "" for r in docs.collect()}
     assert all(r.exact and list(r.ids) == lib.encode(text[r.doc_id]) for r in rows) and len(rows) == docs.count()
     assert pieces.encode(none, path).count() == 0
 
 
+def test_unigram_pieces(tmp_path):
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as proto
+
+    rng, m = random.Random(21), proto.ModelProto()
+    m.trainer_spec.model_type = 1
+    m.trainer_spec.byte_fallback = True
+    m.trainer_spec.unk_surface = " ? "
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.remove_extra_whitespaces, m.normalizer_spec.escape_whitespaces = "identity", True, False, True
+    for text, kind in (("<unk>", 2), ("<s>", 3), ("</s>", 3)):
+        m.pieces.add(piece=text, score=0, type=kind)
+    for b in range(256):
+        m.pieces.add(piece=f"<0x{b:02X}>", score=0, type=6)
+    words = {"a", "b", "c", pieces.SPACE} | {"".join(rng.choice("abc" + pieces.SPACE) for _ in range(rng.randint(2, 6))) for _ in range(150)}
+    for w in sorted(words):
+        m.pieces.add(piece=w, score=-rng.uniform(2, 12), type=1)
+    path = tmp_path / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    lib, own = sentencepiece.SentencePieceProcessor(model_proto=path.read_bytes()), pieces.model(str(path))
+    for _ in range(500):
+        t = "".join(rng.choice("aabbcc  é") for _ in range(rng.randrange(60)))
+        assert own.encode(t) == lib.encode(t), t
+        assert own.decode(lib.encode(t)) == lib.decode(lib.encode(t))
+
+
 def test_toxicity(spark, docs, none):
     rng = random.Random(6)
     vocab = ["".join(rng.choice("abcde") for _ in range(5)) for _ in range(300)]
