@@ -37,8 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again.
+def stage(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, a folder for each value of ``by``, and read it again.
 
     This cuts lineage so that a lost executor costs a re-read, not a re-run. The
     tables are deleted when the driver ends, since lazy results may read them until then.
@@ -48,7 +48,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")  # nothing reads the shuffle files of a table that has been written
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     atexit.register(_delete, spark, path)

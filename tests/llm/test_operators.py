@@ -58,6 +58,12 @@ def test_exact_dedup(docs, none):
     assert dedup.exact_dedup(none).count() == 0
 
 
+def test_exact_dedup_in_parts(docs, monkeypatch):
+    want = Counter(dedup.exact_dedup(docs).collect())
+    monkeypatch.setattr(dedup, "MOST_BITS", 512)  # a few dozen rows a part
+    assert Counter(dedup.exact_dedup(docs).collect()) == want
+
+
 def shingles(t: str | None) -> set:
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set()
