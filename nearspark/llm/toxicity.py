@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,8 @@ TRAIN_BYTES = 96_000_000
 SUPPORT = 4
 HELD_OUT = 2
 EPOCHS = 3
+#: Bytes of features that the driver holds at a time.
+PART_BYTES = 8_000_000
 
 
 def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,16 +75,14 @@ class Ftrl:
         self.n0 += g * g
 
 
-def train(bags: list[np.ndarray], labels: list[int], epochs: int = EPOCHS, **options) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features with a weight, ascending, their weights, and the bias, from each row's features. No rows: the bias alone."""
-    known = np.unique(np.concatenate(bags)) if bags else np.empty(0, np.int32)
+def train(read: Callable[[], Iterator[tuple[np.ndarray, int]]], known: np.ndarray, epochs: int = EPOCHS, **options) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features with a weight, ascending, their weights, and the bias. ``read`` goes through the rows' features (of ``known``, ascending) and labels once. No rows: the bias alone."""
     place = np.zeros(1 << BITS, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
     model = Ftrl(len(known), **options)
-    order = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in order.permutation(len(bags)).tolist():
-            model.learn(place[bags[i]], int(labels[i]))
+        for at, label in read():
+            model.learn(place[at], label)
     kept = np.flatnonzero(np.abs(model.z) > model.l1)
     return known[kept], model._weights(kept).astype(np.float32), model.bias()
 
@@ -100,15 +100,22 @@ def bags(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "row long, label int, features array<int>")
 
 
-def _supported(found: DataFrame, least: int) -> DataFrame:
-    """``found`` without the features of fewer than ``least`` rows."""
+def _support(found: DataFrame, least: int) -> np.ndarray:
+    """The features that at least ``least`` rows have, ascending: 2**BITS at most, which come to the driver as bits."""
     count = found.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    mark = np.zeros(1 << BITS, bool)
-    mark[count.select("f").toArrow().column("f").to_numpy()] = True  # at most 2**BITS numbers
-    held = found.sparkSession.sparkContext.broadcast(np.packbits(mark))
+    words = count.groupBy(F.expr("f >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, f & 63)")).alias("bits")).toArrow()
+    mark = np.zeros(1 << BITS - 6, np.int64)
+    mark[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return np.flatnonzero(np.unpackbits(mark.view(np.uint8), bitorder="little"))
+
+
+def _only(found: DataFrame, known: np.ndarray) -> DataFrame:
+    """``found`` without other features than ``known``."""
+    held = found.sparkSession.sparkContext.broadcast(known.astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.unpackbits(held.value).astype(bool)
+        keep = np.zeros(1 << BITS, bool)
+        keep[held.value] = True
         for b in batches:
             lists = b.column("features")
             at = lists.flatten().to_numpy()
@@ -138,19 +145,32 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             taken.append(i)
             left -= size
     chosen = sizes.select(["id", "label", "code"]).take(pa.array(taken, pa.int64())).append_column("row", pa.array(np.arange(len(taken))))
-    return text.join(F.broadcast(spark.createDataFrame(chosen)), ["id", "code"]).dropDuplicates(["row"]).select("row", "label", "text")
+    return text.join(F.broadcast(spark.createDataFrame(chosen)), ["id", "code"]).select("row", "label", "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
-    """Train on the rows of sample(). Texts become features, and features without support go, in the executors."""
+    """Train on the rows of sample(), in hash order of their numbers.
+
+    Texts become features, and features without support go, in the executors. The driver goes through the
+    rows part by part in each epoch, so that it never holds more than about PART_BYTES of their texts' features.
+    """
     found = common.stage(bags(sample(docs, labels, id_col, text_col, label_col, rows)), "toxicity-bags")
-    got = _supported(found, SUPPORT).toArrow()
-    common.unstage(found)
-    order = np.argsort(got.column("row").to_numpy(), kind="stable")
-    lists = [x.values.to_numpy()[a:b] for x in got.column("features").chunks for a, b in zip(x.offsets[:-1].to_pylist(), x.offsets[1:].to_pylist())]
-    label = got.column("label").to_numpy()[order].tolist()
-    model = train([lists[i] for i in order.tolist()], label)
-    del got, lists
+    parts = max(1, -(-(found.agg(F.sum(F.size("features"))).head()[0] or 0) * 4 // PART_BYTES))
+    known = _support(found, SUPPORT)
+    dealt = _only(found, known).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    ready = common.stage(dealt.repartition(parts, "part"), "toxicity-rows", "part")
+
+    def read() -> Iterator[tuple[np.ndarray, int]]:
+        for p in range(parts):
+            got = ready.where(F.col("part") == p).select("row", "label", "features").toArrow()
+            lists = got.column("features").combine_chunks()
+            row, label, edge, at = got.column("row").to_numpy(), got.column("label").to_numpy(), lists.offsets.to_numpy(), lists.values.to_numpy()
+            # rows repeated with one id and text have one number, and count once
+            for i in np.unique(K.mix(row.view(np.uint64)), return_index=True)[1].tolist():
+                yield at[edge[i] : edge[i + 1]], int(label[i])
+
+    model = train(read, known)
+    common.unstage(found, ready)
     common.trim()
     return model
 

@@ -286,9 +286,9 @@ def test_toxicity(spark, docs, none):
     at, weight, bias = toxicity.fit(d, y)
     z, n, z0, n0, a, l1 = defaultdict(float), defaultdict(float), 0.0, 0.0, 2.4, 8.0
     wz = lambda f: 0.0 if abs(z[f]) <= l1 else -(z[f] - np.sign(z[f]) * l1) / ((1 + np.sqrt(n[f])) / a + 1)
-    order = np.random.default_rng(7)
+    order = np.argsort(toxicity.K.mix(np.array([r.row for r in plain], np.uint64))).tolist()
     for _ in range(toxicity.EPOCHS):
-        for i in order.permutation(len(bags)).tolist():
+        for i in order:
             own, b = {f: wz(f) for f in bags[i].tolist()}, -z0 / ((1 + np.sqrt(n0)) / a)
             g = 1 / (1 + np.exp(-(sum(own.values()) + b))) - plain[i].label
             if abs(g) >= 1e-4:
