@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -124,6 +125,17 @@ def with_columns(docs: DataFrame, text_col: str, run: Callable, new: T.StructTyp
     return rest.mapInArrow(mapped, T.StructType([*rest.schema.fields[:-1], *fields])).toDF(*names, *new.names)
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` over a task's batches, giving freed memory back at the end."""
+
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def text_slices(batch: pa.RecordBatch, col: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``limit`` bytes of text each."""
     if batch.num_rows == 0:

@@ -109,7 +109,7 @@ def prefixes(docs: DataFrame, crowded: np.ndarray, n_words: int) -> DataFrame:
                 longs = [np.diff(first).astype(np.int64), a.view(np.int64), b.view(np.int64)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *map(pa.array, longs), pa.array(map(_mask, sets), pa.binary()), lists], ["id", "n", "a", "b", "mask", "prefix"])
 
-    return docs.mapInArrow(run, "id long, n long, a long, b long, mask binary, prefix array<long>")
+    return docs.mapInArrow(common.trimmed(run), "id long, n long, a long, b long, mask binary, prefix array<long>")
 
 
 def _representatives(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def _postings(points: DataFrame, shared: np.ndarray) -> DataFrame:
             hit = common.in_bitset(held.value, h)
             yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(node[hit])], ["h", "node"])
 
-    return points.select("id", "prefix").mapInArrow(run, "h long, node long")
+    return points.select("id", "prefix").mapInArrow(common.trimmed(run), "h long, node long")
 
 
 def _bounds(pairs: DataFrame, info: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def _bounds(pairs: DataFrame, info: DataFrame) -> DataFrame:
                 differ[i] = max(differ[i], int(np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()))
             yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("node"), b.column("n"), pa.array(2 * differ / (total + differ)), pa.array(_may_link(total, differ))], ["pivot", "node", "n", "lo", "maybe"])
 
-    found = both.mapInArrow(run, "pivot long, node long, n long, lo double, maybe boolean")
+    found = both.mapInArrow(common.trimmed(run), "pivot long, node long, n long, lo double, maybe boolean")
     return found.groupBy("pivot", "node").agg(F.min("lo").alias("lo"), F.max("maybe").alias("maybe"), F.count("*").alias("texts"))
 
 
@@ -178,7 +178,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, n_words: int) -> DataFrame:
                 data = [h[lo:hi].tobytes() for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(data, pa.binary())], ["node", "set"])
 
-    return docs.withColumn("k", F.xxhash64("id")).mapInArrow(run, "node long, set binary").join(nodes, "node", "left_semi").distinct()
+    return docs.withColumn("k", F.xxhash64("id")).mapInArrow(common.trimmed(run), "node long, set binary").join(nodes, "node", "left_semi").distinct()
 
 
 def _measure(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
@@ -199,7 +199,7 @@ def _measure(pairs: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
                 total.append(len(p) + len(q) - n)
             yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("node"), pa.array(common_, pa.int64()), pa.array(total, pa.int64())], ["pivot", "node", "common", "total"])
 
-    done = both.mapInArrow(run, "pivot long, node long, common long, total long")
+    done = both.mapInArrow(common.trimmed(run), "pivot long, node long, common long, total long")
     best = done.groupBy("pivot", "node").agg(F.max(F.struct((F.col("common") / F.col("total")).alias("j"), "common", "total")).alias("m"))
     out = stage(best.select("pivot", "node", "m.common", "m.total"), "jaccard-measured")
     unstage(nodes, sets)
@@ -358,7 +358,7 @@ def _compare(cells: DataFrame, info: DataFrame) -> DataFrame:
         if waiting:
             yield pairs_of(waiting[0])
 
-    return dealt.mapInArrow(run, "pivot long, node long").distinct()
+    return dealt.mapInArrow(common.trimmed(run), "pivot long, node long").distinct()
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, crowd: int = CROWD, large: int = LARGE) -> DataFrame:

@@ -294,7 +294,7 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
 
     kept = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return kept.mapInArrow(run, f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return kept.mapInArrow(common.trimmed(run), f"id {kept.schema['id'].dataType.simpleString()}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def _lettered(texts: pa.Array, words: Words) -> np.ndarray:

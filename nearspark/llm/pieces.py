@@ -27,8 +27,8 @@ from . import common
 
 SPACE = "▁"
 #: Stretches that a generation of a worker's memory holds, for one task, and neighbour pairs that a worker keeps.
-REMEMBERED = 250_000
-PAIRS = 2_000_000
+REMEMBERED = 100_000
+PAIRS = 500_000
 #: Characters that are pushed at a time, and of the longest stretch that is remembered.
 CHUNK = 1024
 WINDOW = 64

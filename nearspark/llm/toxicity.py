@@ -97,13 +97,14 @@ def bags(rows: DataFrame) -> DataFrame:
                 off = np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([part.column("row"), part.column("label"), pa.ListArray.from_arrays(pa.array(off), pa.array(at.astype(np.int32)))], ["row", "label", "features"])
 
-    return rows.mapInArrow(run, "row long, label int, features array<int>")
+    return rows.mapInArrow(common.trimmed(run), "row long, label int, features array<int>")
 
 
 def _support(found: DataFrame, least: int) -> np.ndarray:
     """The features that at least ``least`` rows have, ascending: 2**BITS at most, which come to the driver as bits."""
     count = found.select(F.explode("features").alias("f")).groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    words = count.groupBy(F.expr("f >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, f & 63)")).alias("bits")).toArrow()
+    words = count.groupBy(F.expr("f >> 6").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, f & 63)")).alias("bits"))
+    words = common.stage(words, "toxicity-support").toArrow()
     mark = np.zeros(1 << BITS - 6, np.int64)
     mark[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return np.flatnonzero(np.unpackbits(mark.view(np.uint8), bitorder="little"))
@@ -123,7 +124,7 @@ def _only(found: DataFrame, known: np.ndarray) -> DataFrame:
             edge = np.concatenate([[0], np.cumsum(hit)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("label"), pa.ListArray.from_arrays(pa.array(edge), pa.array(at[hit]))], b.schema.names)
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(common.trimmed(run), found.schema)
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -159,6 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = _support(found, SUPPORT)
     dealt = _only(found, known).withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)))
     ready = common.stage(dealt.repartition(parts, "part"), "toxicity-rows", "part")
+    common.unstage(found)
 
     def read() -> Iterator[tuple[np.ndarray, int]]:
         for p in range(parts):
@@ -170,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield at[edge[i] : edge[i + 1]], int(label[i])
 
     model = train(read, known)
-    common.unstage(found, ready)
+    common.unstage(ready)
     common.trim()
     return model
 

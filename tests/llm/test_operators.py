@@ -395,6 +395,28 @@ def test_nearest_neighbours(spark):
     assert ann.search(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_stopping_test_verifies_a_part():
+    rng = np.random.default_rng(10)
+    v = rng.standard_normal((6000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    points = v @ np.random.default_rng(11).standard_normal((64, ann.DIMS))
+    block, hits = ann.Block(np.arange(6000), v, points), 0
+    for i in range(60):
+        d, ids = block.search(i, v[i], points[i], 10, ann.chi2_quantile(ann.SURE, ann.DIMS), float("inf"))
+        far = ((v - v[i]) ** 2).sum(axis=1)
+        far[i] = np.inf
+        hits += len(set(ids.tolist()) & set(np.argsort(far, kind="stable")[:10].tolist()))
+    assert hits >= 0.9 * 600 and block.verified < 60 * 6000 * 0.4
+
+
+def test_nearest_neighbours_of_repeated_rows_and_ties(spark):
+    rows = [(i, [float(i // 2), 1.0]) for i in range(40)] + [(100, [3.0, 1.0])] * 2 + [(200, [-1.0, 1.0])]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, k=3)
+    own = [(r.rank, r.vec_id, r.score) for r in got.where("query_id = 200").orderBy("rank").collect()]
+    assert own == [(1, 0, 1.0), (2, 1, 1.0), (3, 2, 2.0)]
+    assert got.where("query_id = 100 and vec_id in (6, 7) and score = 0").count() >= 2
+
+
 def test_language_blocks_give_plain_forward_backward():
     rng = np.random.default_rng(3)
     crf = language.Crf(["a", "b", "c"], np.empty(0, np.uint64), np.empty(0, np.int32))
