@@ -1,11 +1,13 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read into blocks of text, each with its root-to-leaf path of block elements.
-Text length, punctuation and link share are summed per path, smoothed over the blocks in
-page order and fused into one weight per path. The outermost articles and main elements
-that hold the heavy paths are kept whole; if they hold too little of that text, all of the
-page is, but for containers of links without a heavy path. Elements that are menus, adverts, forms and the like by their name,
-role, class or id have no weight and no text.
+A page is read into blocks of text. A block's tag path is the chain of block elements from
+the root to it, each with its class. Text length, punctuation and link share are summed per
+path, smoothed over the blocks in page order and fused into one weight per path; a class or
+id that names a sidebar, comments and the like lessens it. Paths whose weight reaches the
+threshold are heavy: they are the content nodes. Kept is what belongs with them: whole
+articles that hold the heavy text; in a page that articles don't divide, what lies between
+heavy blocks or in a container of some, but for lists of links. Elements that are no text by
+their tag or role (menus, forms, scripts and so on) are never read.
 """
 
 from __future__ import annotations
@@ -17,12 +19,12 @@ from html import unescape
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from . import common
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|$)|'[^']*(?:'|$))?)*)(>|$)", re.S)
+ATTRIBUTE = re.compile(r"([^\s=/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z]+")
 BLANK = re.compile(r"\s+")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
@@ -36,54 +38,72 @@ FAMILY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 HOLDS = frozenset("ul ol menu dl table select body article section div".split())
 SKIP = frozenset("head nav footer aside form script style noscript template iframe object button select option textarea svg canvas audio video title dialog menu noembed noframes xmp".split())
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form alert".split())
-#: Words of a class or id that tell of another element than the one that bears them.
-ABOUT = frozenset("has no not with without enabled disabled layout".split())
-#: An element so named is skipped unless it holds an article or main element, or most of the text around it.
+#: A class or id of these words, beside words that tell nothing, names an element that is not part of the text.
 SKIP_WORD = frozenset(
     "ad ads advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar sidenav footer masthead toolbar cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended comment comments commentlist disqus discussion replies respond widget pagination pager skip".split()
 )
+PLAIN_WORD = frozenset("a the and to of list box area section wrap wrapper container block item items body inner outer top bottom left right site page main post link links button buttons bar form primary secondary global header text title icon icons group row col column js is c e m u x".split())
+#: What such a name leaves of a path's weight.
+NAMED = 0.01
 #: Part of the text on heavy paths that articles and main elements hold at least; otherwise the page is not taken to be divided by them.
 MOST = 0.7
-#: Part of a container's characters inside links above which it is a menu, unless it holds a heavy path.
+#: Part of a list's or container's characters inside links above which it is a menu, unless it holds a heavy path.
 LINKED = 0.6
+#: Elements that hold blocks of their own kind rather than a part of the page.
+CONTAINER = frozenset("html body div section td center main article fieldset".split())
 #: Blocks rather than containers: links alone don't make a menu of them.
 SINGLE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption summary".split())
 
 
 class _Element:
-    __slots__ = ("name", "skip", "key", "inside", "soft")
+    """An open or closed element. What it inherits is set when it opens; sums over its blocks are added up from the last element to the first."""
 
-    def __init__(self, name: str, skip: bool, key: str, inside: bool, soft: bool):
-        self.name, self.skip, self.key, self.inside, self.soft = name, skip, key, inside, soft
+    __slots__ = ("name", "skip", "parent", "path", "inside", "soft", "named", "top", "holder", "size", "linked", "heavy")
 
+    def __init__(self, name: str, skip: bool, parent: _Element | None, path: int, soft: bool):
+        self.name, self.skip, self.parent, self.path, self.soft = name, skip, parent, path, soft
+        self.inside = bool(parent and parent.inside) or name in ("article", "main")
+        # comments and the like that are article elements are none
+        article = name == "main" or name == "article" and not soft
+        self.top = parent.top if parent and parent.top else self if article else None
+        self.named = soft or bool(parent and parent.named)
+        self.holder = self if name in CONTAINER or not parent else parent.holder
+        self.size = self.linked = 0
+        self.heavy = False
 
-def _skips(name: str, attributes: str, in_article: bool) -> bool:
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of equals."""
+    out: dict[str, str] = {}
+    for name, a, b, c in ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), unescape(a or b or c))
+    return out
+
+
+def _skips(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     if name in SKIP or name == "header" and not in_article:
         return True
     if name in ("html", "body", "article", "main") or not attributes:
         return False
-    for kind, a, b, c in ATTRIBUTE.findall(attributes):
-        kind, value = kind.lower(), (a or b or c).lower()
-        if kind == "role" and value.strip() in SKIP_ROLE or kind == "hidden" or kind == "aria-hidden" and value == "true":
-            return True
-    return False
+    return attributes.get("role", "").strip().lower() in SKIP_ROLE or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true"
 
 
-def _named(attributes: str) -> bool:
-    """Whether a word of the class or id names something to be skipped."""
-    for kind, a, b, c in ATTRIBUTE.findall(attributes):
-        if kind.lower() in ("class", "id"):
-            for value in (a or b or c).lower().split():
-                words = WORD.findall(value)
-                if not SKIP_WORD.isdisjoint(words) and ABOUT.isdisjoint(words):
-                    return True
+def _named(attributes: dict[str, str]) -> bool:
+    """Whether a class or the id says that the element is not part of the text."""
+    for value in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(WORD.findall(value))
+        if not SKIP_WORD.isdisjoint(words) and words <= SKIP_WORD | PLAIN_WORD:
+            return True
     return False
 
 
-def blocks(html: str) -> list[tuple[str, tuple[_Element, ...], int]]:
-    """(text, its block elements from the root, characters inside links) of each block that isn't skipped, in page order."""
-    out: list[tuple[str, tuple[_Element, ...], int]] = []
+def blocks(html: str) -> tuple[list[tuple[str, _Element | None, int]], list[_Element]]:
+    """(text, its innermost block element, characters inside links) of each block that isn't skipped, in page order; and all elements."""
+    out: list[tuple[str, _Element | None, int]] = []
     stack: list[_Element] = []
+    every: list[_Element] = []
+    paths: dict[tuple, int] = {}
+    open_: dict[str, int] = defaultdict(int)
     parts: list[str] = []
     links = anchors = 0
 
@@ -92,7 +112,7 @@ def blocks(html: str) -> list[tuple[str, tuple[_Element, ...], int]]:
         if parts:
             text = BLANK.sub(" ", "".join(parts)).strip()
             if text:
-                out.append((text, tuple(stack), links))
+                out.append((text, stack[-1] if stack else None, min(links, len(text))))
             parts.clear()
         links = 0
 
@@ -106,9 +126,13 @@ def blocks(html: str) -> list[tuple[str, tuple[_Element, ...], int]]:
 
     def close(name: str, until: frozenset = frozenset()) -> bool:
         nonlocal anchors
+        if not open_[name]:
+            return False
         for i in range(len(stack) - 1, -1, -1):
             if stack[i].name == name:
                 flush()
+                for e in stack[i:]:
+                    open_[e.name] -= 1
                 del stack[i:]
                 anchors = 0
                 return True
@@ -151,85 +175,70 @@ def blocks(html: str) -> list[tuple[str, tuple[_Element, ...], int]]:
             continue
         flush()
         parent = stack[-1] if stack else None
-        skip = bool(parent and parent.skip) or _skips(name, m[3], bool(parent and parent.inside))
         if name in RAW:
             end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             at = end.end() if end else n
             continue
-        if name in ("html", "body") and any(e.name == name for e in stack):
+        if name in ("html", "body") and open_[name]:
             continue
         if name == "body":
             close("head")
-        stack.append(_Element(name, skip, name, bool(parent and parent.inside) or name in ("article", "main"), name not in ("html", "body") and bool(m[3]) and _named(m[3])))
+            parent = stack[-1] if stack else None
+        attributes = _attributes(m[3]) if m[3] else {}
+        skip = bool(parent and parent.skip) or _skips(name, attributes, bool(parent and parent.inside))
+        key = parent.path if parent else -1, name, attributes.get("class", "")
+        path = paths.setdefault(key, len(paths))
+        stack.append(_Element(name, skip, parent, path, name not in ("html", "body", "main") and _named(attributes)))
+        every.append(stack[-1])
+        open_[name] += 1
     flush()
-    return _without_named(out)
-
-
-def _without_named(found: list[tuple[str, tuple[_Element, ...], int]]) -> list[tuple[str, tuple[_Element, ...], int]]:
-    """Drop what lies in elements whose class or id says so, but keep those that hold the page's article or most of the text."""
-    if not any(e.soft for _, chain, _ in found for e in chain):
-        return found
-    size: dict[_Element | None, int] = defaultdict(int)
-    around: dict[_Element, _Element | None] = {}
-    holds: set[_Element] = set()
-    divided = False  # whether there is an article, so that what is outside of it needs no benefit of doubt
-    for text, chain, links in found:
-        n, scope = len(text) - min(links, len(text)), None
-        size[None] += n
-        for i, e in enumerate(chain):
-            size[e] += n
-            around[e] = scope
-            if _is_article(e):
-                scope, divided = e, True
-                holds.update(chain[:i])
-
-    def gone(e: _Element) -> bool:
-        if not e.soft or e.name in ("article", "main") or e in holds:
-            return False
-        return divided and around[e] is None or 2 * size[e] <= size[around[e]]
-
-    return [b for b in found if not any(gone(e) for e in b[1])]
+    return out, every
 
 
-def _is_article(e: _Element) -> bool:
-    """Comments and the like that are article elements are none."""
-    return e.name == "main" or e.name == "article" and not e.soft
+def weights(found: list[tuple[str, _Element | None, int]]) -> np.ndarray:
+    """The weight of each block's path: its ratios, smoothed over neighbouring blocks so that short blocks amid long ones count with them, and lessened by names."""
+    at = np.unique([e.path if e else -1 for _, e, _ in found], return_inverse=True)[1]
+    total = lambda x: np.bincount(at, x)[at]
+    count, length = total(np.ones(len(at))), total([len(t) for t, _, _ in found])
+    marks, linked = total([len(PUNCTUATION.findall(t)) for t, _, _ in found]), total([k for _, _, k in found])
+    raw = (length / count) * (1 + marks / count) * (1 - linked / length)
+    kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
+    soft = np.convolve(raw, kernel)[2:-2] / np.convolve(np.ones(len(raw)), kernel)[2:-2]
+    own = total(np.sqrt(soft * raw)) / count
+    return own * np.where([e is not None and e.named for _, e, _ in found], NAMED, 1.0)
 
 
-def main_text(html: str | None) -> str:
-    """The kept blocks of a page, joined by two line breaks."""
-    found = blocks(html or "")
+def main_text(html: str | None, ratios: bool = True) -> str:
+    """The kept blocks of a page, joined by two line breaks. Without ``ratios`` every path is heavy."""
+    found, every = blocks(html or "")
     if not found:
         return ""
-    length, marks, linked, count = (defaultdict(float) for _ in range(4))
-    paths = [tuple(e.key for e in chain) for _, chain, _ in found]
-    for (text, _, links), path in zip(found, paths):
-        length[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
-        linked[path] += min(links, len(text))
-        count[path] += 1
-    # a path's ratios, then smoothed over neighbouring blocks so that short blocks amid long ones count with them
-    ratio = {p: (length[p] / count[p]) * (1 + marks[p] / count[p]) * (1 - linked[p] / length[p]) for p in length}
-    raw = np.array([ratio[p] for p in paths])
-    kernel = np.array([1.0, 2.0, 4.0, 2.0, 1.0])
-    soft = np.convolve(raw, kernel)[2:-2] / np.convolve(np.ones(len(raw)), kernel)[2:-2]
-    weight: dict[tuple, float] = defaultdict(float)
-    for path, own in zip(paths, np.sqrt(soft * raw).tolist()):
-        weight[path] += own / count[path]
-    least = float(np.std([weight[p] for p in paths])) * (1 - 1e-9)
-    heavy = [weight[p] >= least for p in paths]
-    tops = [next((e for e in chain if _is_article(e)), None) for _, chain, _ in found]
-    plain = [len(text) - min(links, len(text)) for text, _, links in found]
-    roots = {e for e, h in zip(tops, heavy) if h and e}
-    if roots and sum(n for n, h, e in zip(plain, heavy, tops) if h and e) >= MOST * sum(n for n, h in zip(plain, heavy) if h):
-        keep = [e in roots for e in tops]
+    weight = weights(found)
+    heavy = weight >= float(np.std(weight)) * (1 - 1e-9) if ratios else np.ones(len(found), bool)
+    for (text, e, links), h in zip(found, heavy.tolist()):
+        if e:
+            e.size += len(text)
+            e.linked += links
+            e.heavy |= h
+    for e in reversed(every):
+        if e.parent:
+            e.parent.size += e.size
+            e.parent.linked += e.linked
+            e.parent.heavy |= e.heavy
+    # an element that says so is left out, but its name alone doesn't do away with heavy text
+    gone: dict[_Element | None, bool] = {None: False}
+    menu: dict[_Element | None, bool] = {None: False}
+    for e in every:
+        gone[e] = gone[e.parent] or e.soft and not e.heavy
+        menu[e] = menu[e.parent] or not e.heavy and e.name not in SINGLE and e.linked > LINKED * e.size
+    plain = [len(text) - links for text, _, links in found]
+    roots = {e.top for _, e, _ in found if e and e.top and e.top.heavy}
+    divided = sum(n for n, h, (_, e, _) in zip(plain, heavy, found) if h and e and e.top) >= MOST * sum(n for n, h in zip(plain, heavy) if h)
+    if roots and divided:
+        keep = [e is not None and e.top in roots and not gone[e] for _, e, _ in found]
     else:
-        size, inside, holds = defaultdict(int), defaultdict(int), {e for (_, chain, _), h in zip(found, heavy) if h for e in chain}
-        for (text, chain, _), n in zip(found, plain):
-            for e in chain:
-                size[e] += len(text)
-                inside[e] += len(text) - n
-        keep = [not any(e not in holds and e.name not in SINGLE and inside[e] > LINKED * size[e] for e in chain) for _, chain, _ in found]
+        first, last = (int(x) for x in np.flatnonzero(heavy)[[0, -1]])
+        keep = [not gone[e] and not menu[e] and (first <= i <= last or e is None or e.holder.heavy) for i, (_, e, _) in enumerate(found)]
     return "\n\n".join(text for (text, _, _), k in zip(found, keep) if k)
 
 

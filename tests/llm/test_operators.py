@@ -368,6 +368,47 @@ def test_html_wrapper_names_do_not_empty_a_page(name):
     assert html.main_text(f'<body><article><div class="{name}"><p>{text}</p></div>{extra}</article></body>') == text.strip()
 
 
+def test_html_parsing_and_names():
+    text = "Some words of the page, and more of them, to the end of it. " * 4
+    page = lambda x: f"<body>{x}<p>{text}</p></body>"
+    kept = {
+        '<p title="the hidden cost">Cost.</p>': "Cost.", '<p data-id="ad">Data.</p>': "Data.", "<p title=it's>First</p><p>don't stop</p>": "First\n\ndon't stop",
+        '<p title="a > b">Sign.</p>': "Sign.", "<p hidden>No.</p>": None, '<p class="hidden-fact">Yes.</p>': "Yes.",
+    }
+    for x, want in kept.items():
+        assert html.main_text(page(x)) == "\n\n".join(filter(None, [want, text.strip()])), x
+    for name in ("content with-sidebar", "comment-on-law", "no-ads"):
+        assert html.main_text(f'<body><article><p>Lead.</p><div class="{name}"><p>{text}</p></div></article></body>').split("\n\n") == ["Lead.", text.strip()]
+    assert html.main_text(f"<article><header><h1>Title</h1></header><div><p>{text}</p></div></article>") == f"Title\n\n{text.strip()}"
+
+
+def test_html_ratios_choose():
+    text = "Some words of the page, and more of them, to the end of it. " * 4
+    cards = "".join(f'<article class="card"><h3>Card {i}</h3></article>' for i in range(3))
+    page = f"<body><div>Plain chrome</div><div class=story><p>{text}</p><div class=mid>Amid</div><p>{text}</p></div><div>More chrome</div></body>"
+    assert html.main_text(page).split("\n\n") == [text.strip(), "Amid", text.strip()]
+    assert "chrome" in html.main_text(page, ratios=False)
+    page = f"<body><article><h1>Head</h1><p>{text}</p></article>{cards}</body>"
+    assert html.main_text(page).split("\n\n") == ["Head", text.strip()]
+    assert "Card 1" in html.main_text(page, ratios=False)
+
+
+def test_html_time_is_linear_in_depth():
+    import time
+
+    n = 5000
+    began = time.time()
+    assert html.main_text("".join(f"<div>w{i} " for i in range(n))).count("\n\n") == n - 1
+    assert html.main_text("<div>" * n + "</p>" * n + "x" * 2_000_000).endswith("x")
+    assert time.time() - began < 2
+
+
+def test_html_rows(spark):
+    page = "<body><p>One text, and some more of it.</p></body>"
+    rows = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x"), (2, None, "", "y")], "page_id long, url string, html string, text string")
+    assert sorted((r.page_id, r.text) for r in html.extract(rows.withColumn("a.b", F.lit(1))).collect()) == [(1, "One text, and some more of it."), (1, "One text, and some more of it."), (2, "")]
+
+
 def test_html_keeps_linked_blocks_of_the_article():
     text = "Some words of the page, and more of them. " * 5
     page = f'<body><article><h1><a href="/a">Head</a></h1><p>{text}</p><p><a href="/b">One linked sentence.</a></p><ul><li><a href="/c">Source</a></ul></article></body>'
