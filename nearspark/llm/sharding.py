@@ -14,7 +14,7 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import local, stage
+from .common import HOT_PART, hot_join, local, stage, unstage
 
 SHARDS = 40
 #: The driver places groups larger than this part of a shard, and groups that rounds have left once they are few: ``FEW`` a shard.
@@ -26,12 +26,12 @@ RANKED = 50_000
 def dealt_rank(df: DataFrame, part: list[str], order: list[Column], rows: int, name: str, lead: Column | None = None, weight: str | None = None) -> DataFrame:
     """``df`` with ``name``: the rank from 0 of each row in its part, gapless; with ``weight``, the sum of it over the rows before.
 
-    Rows are dealt to buckets by ``lead`` (a long, smaller first) and a hash of ``order``; a bucket's
+    Rows are dealt to buckets by ``lead`` (a long, smaller first) and a hash of the first of ``order``; a bucket's
     rows are ranked in one task, offset by the counts of the buckets before it. So the
     order is by lead, bucket, then ``order``, and no task ranks a whole part.
     """
     buckets = max(1, min(4096, rows // RANKED))
-    df = df.withColumns({"__lead": lead if lead is not None else F.lit(0).cast("long"), "__bucket": F.pmod(F.xxhash64(*order), F.lit(buckets))})
+    df = df.withColumns({"__lead": lead if lead is not None else F.lit(0).cast("long"), "__bucket": F.pmod(F.xxhash64(order[0]), F.lit(buckets))})
     keys = [*part, "__lead", "__bucket"]
     before = F.coalesce(F.sum("__n").over(Window.partitionBy(*part).orderBy("__lead", "__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = df.groupBy(*keys).agg((F.sum(weight) if weight else F.count("*")).alias("__n")).withColumn("__before", before).drop("__n")
@@ -121,7 +121,7 @@ def _place(linked: DataFrame, quota: list[int]) -> DataFrame:
         out = out.unionByName(rows.where("to IS NULL").drop("to").join(small, "g").select("row", F.col("to").alias("shard")))
     if cut:
         most = max(max(h.values()) for _, h in cut)
-        ranked = dealt_rank(rows.where("to < 0").drop("to"), ["g", "shard"], [F.col("row")], most, "r")
+        ranked = dealt_rank(rows.where("to < 0").drop("to"), ["g", "shard"], [F.col("turn"), F.col("row")], most, "r")
         out = out.unionByName(ranked.join(F.broadcast(moves), ["g", "shard"]).where("r >= lo AND r < hi").select("row", F.col("to").alias("shard")))
     return stage(out, "shard-linked-placed")
 
@@ -136,17 +136,18 @@ def propagate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     shards the last shards are empty; an empty table gives no rows. Other columns aren't read.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    base = stage(docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("g"), F.monotonically_increasing_id().alias("row")), "shard-rows")
+    base = stage(docs.select(F.col(f"`{id_col}`").alias("id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("g"), F.monotonically_increasing_id().alias("row")).withColumn("turn", F.xxhash64("id", "g")), "shard-rows")
     total = base.count()
     many = stage(base.groupBy("g").agg(F.count("*").alias("n")).where("n > 1"), "shard-groups")
-    own = (F.pmod(F.xxhash64("id", "row"), F.lit(shards))).cast("int")
-    # the groups are few next to the rows, but not bounded: a join that AQE may split by skew
-    state = stage(base.join(many, "g", "left").withColumn("shard", own), "shard-start")
-    linked = stage(state.where("n is not null").select("g", "row", "shard"), "shard-linked")
+    # turn, a hash of id and text, decides all; row tells apart rows that are equal in both
+    own = (F.pmod(F.xxhash64("turn"), F.lit(shards))).cast("int")
+    state = stage(hot_join(base, many, ["g"], F.col("n") * HOT_PART > total, "left").withColumn("shard", own), "shard-start")
+    unstage(base, many)
+    linked = stage(state.where("n is not null").select("g", "row", "turn", "shard"), "shard-linked")
     quota = [total // shards + (k < total % shards) for k in range(shards)]
     linked = _place(linked, quota)
-    placed = state.where("n is null").select("id", "size", "text_crc32", "row", "shard", F.lit(0).cast("long").alias("tied"))
-    placed = placed.unionByName(state.where("n is not null").drop("shard").join(linked, "row").select("id", "size", "text_crc32", "row", "shard", F.lit(1).cast("long").alias("tied")))
+    placed = state.where("n is null").select("id", "size", "text_crc32", "row", "turn", "shard", F.lit(0).cast("long").alias("tied"))
+    placed = placed.unionByName(state.where("n is not null").drop("shard").join(linked, "row").select("id", "size", "text_crc32", "row", "turn", "shard", F.lit(1).cast("long").alias("tied")))
     placed = stage(placed, "shard-placed")
     count = {r.shard: r["count"] for r in placed.groupBy("shard").count().collect()}
     # the first rows of a shard above its quota leave (unlinked rows come first) and fill the gaps in turn
@@ -157,7 +158,7 @@ def propagate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         gaps.append((edge, edge + gap, k))
         edge += gap
     pick = F.element_at(F.array(*[F.lit(x) for x in over]), F.col("shard") + 1)
-    ranked = stage(dealt_rank(placed, ["shard"], [F.col("row")], total // shards, "r", F.col("tied")), "shard-ranked")
+    ranked = stage(dealt_rank(placed, ["shard"], [F.col("turn"), F.col("row")], total // shards, "r", F.col("tied")), "shard-ranked")
     starts, run = [], 0
     for x in over:
         starts.append(run)
@@ -168,5 +169,5 @@ def propagate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         if hi > lo:
             to = F.when((turn >= lo) & (turn < hi), F.lit(k)).otherwise(to)
     final = stage(ranked.withColumn("shard", F.when(F.col("r") < pick, to).otherwise(F.col("shard"))).drop("r"), "shard-final")
-    out = dealt_rank(final, ["shard"], [F.col("row")], total // shards, "slot")
+    out = dealt_rank(final, ["shard"], [F.col("turn"), F.col("row")], total // shards, "slot")
     return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -169,6 +169,13 @@ def test_sharding(docs, none):
     assert sharding.propagate(none).count() == 0
 
 
+def test_sharding_does_not_depend_on_partitions(docs):
+    def run(n):
+        return Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in sharding.propagate(docs.repartition(n), shards=5).collect())
+
+    assert run(2) == run(5)
+
+
 @pytest.mark.parametrize("few", [64, 1])
 def test_sharding_keeps_groups_together(spark, monkeypatch, few):
     monkeypatch.setattr(sharding, "FEW", few)
