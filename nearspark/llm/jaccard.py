@@ -277,6 +277,10 @@ class _Known:
         return out
 
 
+def _work(cells: DataFrame) -> int:
+    return cells.groupBy("cell").agg(F.first("work").alias("work")).agg(F.coalesce(F.sum("work"), F.lit(0)).cast("long")).head()[0]
+
+
 def _divide(known: _Known, cells: DataFrame) -> DataFrame:
     """Voronoi cells (cell, pivot, node, lo, hi) of the points of each cell (cell, node, label, own) around pivots that its own pivot isn't connected with, with boundary points in several."""
     others = cells.where("label != own").groupBy("cell", F.pmod(F.xxhash64("label"), F.lit(FAN)).alias("turn")).agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("pivot"))
@@ -400,27 +404,36 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     known = _Known(taking, info, _of_one_id(sized, classes), n_words)
     level = known.weighed(known.look(regions).withColumn("cell", F.col("pivot")))
     unstage(regions)
-    final, levels, before = [], [], None
+    final, levels = [], []
     while True:
         levels.append(level)
         big = level.where(F.col("work") > large)
-        work = big.groupBy("cell").agg(F.first("work").alias("work")).agg(F.coalesce(F.sum("work"), F.lit(0)).cast("long")).head()[0]
-        # divided again only as long as that leaves less to compare
-        if not work or before is not None and work > 0.7 * before:
+        before = _work(big)
+        if not before:
+            final.append(level)
+            break
+        parts = known.weighed(_divide(known, big))
+        levels.append(parts)
+        if _work(parts) > 0.7 * before:  # cells that dividing doesn't make less work of stay whole
             final.append(level)
             break
         final.append(level.where(F.col("work") <= large))
-        level, before = known.weighed(_divide(known, big)), work
+        level = parts
     cells = final[0]
     for f in final[1:]:
         cells = cells.unionByName(f)
-    pairs = _compare(cells, info)
-    seen = [m.select(*c) for m in known.measured for c in (("pivot", "node"), (F.col("node").alias("pivot"), F.col("pivot").alias("node")))]
-    for m in seen:
-        pairs = pairs.join(m, ["pivot", "node"], "left_anti")
+    # what dividing has linked needs no comparison
+    if len(levels) > 1:
+        cells = known.weighed(cells.select("cell", "pivot", "node", "lo", "hi"))
+        levels.append(cells)
+    compared = stage(_compare(cells, info), "jaccard-compared")
+    seen = known.measured[0]
+    for m in known.measured[1:]:
+        seen = seen.unionByName(m)
+    pairs = compared.join(seen.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")), ["pivot", "node"], "left_anti")
     pairs = stage(pairs, "jaccard-pairs")
     known.take(_measure(pairs, taking, n_words))
-    unstage(pairs, info, *levels)
+    unstage(compared, pairs, info, *levels)
 
     named = classes.join(known.labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", "copies", F.coalesce("label", "rep").alias("component"))
     # documents without shingles, which are alike but not linked, don't meet

@@ -16,8 +16,9 @@ each position and the ids are the library's.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import chain, groupby
+from array import array
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from . import common
 
 SPACE = "▁"
 #: Stretches that a generation of a worker's memory holds, for one task, and neighbour pairs that a worker keeps.
-REMEMBERED = 100_000
+REMEMBERED = 200_000
 PAIRS = 500_000
 #: Characters that are pushed at a time, and of the longest stretch that is remembered.
 CHUNK = 1024
@@ -135,19 +136,19 @@ class Viterbi:
 
 
 class Memory(dict):
-    """Ids of the stretches met lately, in two generations; those longer than the window aren't kept."""
+    """Ids (as the bytes of an array) of the stretches met lately, in two generations; those longer than the window aren't kept."""
 
     def __init__(self, model: Model):
         self.model, self.old = model, {}
 
-    def __missing__(self, text: str) -> list[int]:
+    def __missing__(self, text: str) -> bytes:
         got = self.old.get(text)
         if got is None:
             tail = TAIL.fullmatch(text)
             if tail and text[tail.end(1) - 1 : tail.end(1) + 1] not in self.model.joints:  # no piece holds both characters, so every path stops between them
                 got = self[tail[1]] + self[tail[2]]
             else:
-                got = self.model.segment(text)
+                got = array("i", self.model.segment(text)).tobytes()
         if len(text) <= WINDOW:
             if len(self) >= REMEMBERED:
                 self.old = dict(self)
@@ -240,14 +241,20 @@ class Model:
             out += search.push(text[lo : lo + CHUNK])
         return out + search.finish()
 
-    def encode(self, text: str | None) -> list[int]:
+    def raw(self, text: str | None) -> bytes:
+        """The ids as the bytes of an array."""
         if not text:
-            return []
+            return b""
         text = text.replace(" ", SPACE)
         text = SPACE + text if self.prefix else text
-        return self.segment(text) if self.cut is None else list(chain.from_iterable(map(self.memory.__getitem__, self.cut.findall(text))))
+        if self.cut is None:
+            return array("i", self.segment(text)).tobytes()
+        return b"".join(map(self.memory.__getitem__, self.cut.findall(text)))
+
+    def encode(self, text: str | None) -> list[int]:
+        return array("i", self.raw(text)).tolist()
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Sequence[int]) -> str:
         """The text of the ids: byte pieces as UTF-8 (each byte that isn't, as U+FFFD), unknown ids as the model's mark for them, without the space mark added in front."""
         parts = [self.bytes_at[i] for i in ids]
         if self.prefix:  # the first piece that isn't a control piece
@@ -295,14 +302,14 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     """
 
     def run(texts: pa.Array) -> list[pa.Array]:
-        return [_lists([model(path).encode(t) for t in texts.to_pylist()])]
+        return [_lists(list(map(model(path).raw, texts.to_pylist())))]
 
     return common.with_columns(docs, text_col, run, T.StructType([T.StructField(ids_col, T.ArrayType(T.IntegerType()))]), lambda: model(path).memory.forget())
 
 
-def _lists(found: list[list[int]]) -> pa.Array:
-    off = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.fromiter(chain.from_iterable(found), np.int32, int(off[-1]))))
+def _lists(found: list[bytes]) -> pa.Array:
+    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(found), np.int32)))
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -331,9 +338,9 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         for batch in batches:
             for part in common.text_slices(batch):
                 texts = part.column("text").to_pylist()
-                found = [own.encode(t) for t in texts]
-                exact = [own.decode(x) == (t or "").replace(SPACE, " ") for x, t in zip(found, texts)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(found), pa.array(map(len, found), pa.int32()), pa.array(exact, pa.bool_())], ["id", "ids", "n_ids", "exact"])
+                found = list(map(own.raw, texts))
+                exact = [own.decode(array("i", x)) == (t or "").replace(SPACE, " ") for x, t in zip(found, texts)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), _lists(found), pa.array([len(x) // 4 for x in found], pa.int32()), pa.array(exact, pa.bool_())], ["id", "ids", "n_ids", "exact"])
         own.memory.forget()
         common.trim()
 
