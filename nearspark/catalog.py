@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions import vectors as V
-from .operators import cluster, evaluate, exact, ivf
+from .operators import cluster, evaluate, exact, graph, ivf
 from .plans import config
 
 QUERIES: dict = {}
@@ -98,14 +98,16 @@ def knn_label_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(exact.knn(exact.where_label(v, F.col("label") == 3), _queries(v), K), "distance")
 
 
-@_query(f"""{_V}, d AS (SELECT query_id, row_id, {_L2} AS distance FROM q, v WHERE row_id % 250 = 0),
+@_query(f"""{_V}, d AS (SELECT query_id, row_id, {_L2} AS distance FROM q, v WHERE row_id IN (3, 5, 8, 13)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS rank FROM d),
 s AS (SELECT query_id, unnest(range(1, 11)) AS rank FROM q)
 SELECT s.query_id, s.rank::INT AS rank, coalesce(row_id, -1) AS row_id, round(coalesce(distance, 3.4028234663852886e38), 6) AS distance FROM s LEFT JOIN r USING (query_id, rank)""")
 def knn_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of four allowed rows leaves fewer than k results at any size."""
     v = _vectors(spark, sf_dir)
     q = _queries(v)
-    return _round(exact.padded(exact.knn(v.where("row_id % 250 = 0"), q, K), q, K), "distance")
+    allowed = spark.createDataFrame([(i,) for i in (3, 5, 8, 13)], "row_id long")
+    return _round(exact.padded(exact.knn(exact.prefilter(v, allowed), q, K), q, K), "distance")
 
 
 _C = "c AS (SELECT row_id::INT AS list_id, e AS c FROM v WHERE row_id < 8)"
@@ -171,28 +173,95 @@ def ivf_flat_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(exact.top_k(again, K), "distance")
 
 
-def _recall(kind: str, metric: str, **options):
-    # approximate: the tests hold the recall against brute force
+def _recall(kind: str, metric: str, least: float, **options):
+    # approximate: what is held against SQL is that the recall over exact results reaches the stated bound
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v, index = _index(spark, sf_dir, kind, metric, **options)
         q = _queries(v)
         r = evaluate.recall(index.search(q, config.SearchParams.automatic(K)), exact.knn(v, q, K, metric))
-        return r
+        return r.select((F.col("recall") >= least).alias("reached"), F.lit(least).alias("bound"))
 
     run.__name__ = f"{kind}_{metric}_recall"
-    _query()(run)
+    _query(f"SELECT TRUE AS reached, {least}::DOUBLE AS bound")(run)
 
 
-for _kind, _metric, _o in (("ivf_sq", "l2", {}), ("ivf_pq", "l2", {"pq_m": 16}), ("ivf_rq", "cosine", {}), ("ivf_pq", "inner_product", {"pq_m": 16})):
-    _recall(_kind, _metric, **_o)
+for _kind, _metric, _least, _o in (("ivf_sq", "l2", 0.9, {}), ("ivf_pq", "l2", 0.5, {"pq_m": 16}), ("ivf_rq", "cosine", 0.6, {}), ("ivf_pq", "inner_product", 0.5, {"pq_m": 16})):
+    _recall(_kind, _metric, _least, **_o)
 
 
-@_query()
+def _graph(spark: SparkSession, sf_dir: str, **options) -> tuple[DataFrame, graph.GraphIndex]:
+    v = _vectors(spark, sf_dir).select("row_id", "embedding")
+    return v, graph.GraphIndex.build(v, config.IndexConfig("diskann", 64, "l2", max_degree=32, build_l=64, pq_m=4, **options))
+
+
+@_query("SELECT TRUE AS reached, 0.9::DOUBLE AS bound")
+def graph_l2_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, index = _graph(spark, sf_dir)
+    q = _queries(v)
+    r = evaluate.recall(index.search(q, config.SearchParams.diskann(K, 100)), exact.knn(v, q, K))
+    return r.select((F.col("recall") >= 0.9).alias("reached"), F.lit(0.9).alias("bound"))
+
+
+@_query(_top(_L2))
+def graph_all_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a list as long as the table the walk visits every reachable row, so the result is exact."""
+    v, index = _graph(spark, sf_dir)
+    return _round(index.search(_queries(v), config.SearchParams.diskann(K, v.count())), "distance")
+
+
+@_query(_top(_L2, "row_id % 2 = 0"))
+def graph_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, index = _graph(spark, sf_dir)
+    return _round(index.search(_queries(v), config.SearchParams.diskann(K, 100), v.where("row_id % 2 = 0").select("row_id")), "distance")
+
+
+@_query("SELECT 2 * count(*) AS nodes, 2 * count(*) AS reachable, TRUE AS bounded FROM embeddings")
+def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small budget makes several shards; each row is in its two nearest, and their entries reach all."""
+    _, index = _graph(spark, sf_dir, memory_budget=2_000_000)
+    return index.reachability().agg(F.sum("nodes").alias("nodes"), F.sum("reachable").alias("reachable"), (F.max("degree") <= 32).alias("bounded"))
+
+
+@_query("SELECT * FROM (VALUES (10, 1, 1, 100), (1000, 8, 8, 100), (1000000, 1024, 64, 100), (1183514, 1024, 64, 100)) t(n, nlist, nprobe, l_search)")
 def inferred_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(n, config.infer_nlist(n), config.infer_nprobe(config.infer_nlist(n), n, K), config.infer_l_search(K)) for n in (10, 1000, 1_000_000, 1_183_514)]
     return spark.createDataFrame(rows, "n int, nlist int, nprobe int, l_search int")
 
 
+@_query(f"{_A}, {_R}, s AS (SELECT row_id, i, CASE WHEN lo >= hi THEN lo ELSE lo + floor(least(greatest((x - lo) * 255 / (hi - lo), 0), 255) + 0.5) * (hi - lo) / 255 END AS y FROM u JOIN b USING (list_id, i)) SELECT row_id, list(round(y, 6) ORDER BY i) AS residual FROM s GROUP BY row_id")
+def sq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _residuals(spark, sf_dir)
+    near = r.join(F.broadcast(cluster.sq_bounds(r)), "list_id")
+    codes = V.sq_encode(F.col("residual"), F.col("mins"), F.col("maxs"))
+    return near.select("row_id", F.transform(V.sq_decode(codes, F.col("mins"), F.col("maxs")), lambda x: F.round(x, 6)).alias("residual"))
+
+
+# two results of different widths, and each row's list twice
+_TWO = f"{_V}, d AS (SELECT query_id, row_id, {_L2} AS distance FROM q, v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, row_id) AS rank FROM d)"
+
+
+@_query(f"{_TWO}, a AS (SELECT * FROM r WHERE rank <= 10), b AS (SELECT * FROM r WHERE rank BETWEEN 3 AND 12) SELECT count(*)::DOUBLE / (SELECT count(*) FROM a) AS stability FROM a JOIN b USING (query_id, row_id)")
+def top_k_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    r = exact.knn(v, _queries(v), 12)
+    return evaluate.stability(r.where("rank <= 10"), r.where("rank >= 3"))
+
+
+@_query(f"{_TWO}, a AS (SELECT * FROM r WHERE rank <= 10), b AS (SELECT * FROM r WHERE rank <= 6) SELECT (SELECT count(*) FROM b)::DOUBLE / count(*) AS recall FROM a")
+def recall_of_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    r = exact.knn(v, _queries(v), 10)
+    return evaluate.recall(r.where("rank <= 6"), r)
+
+
+@_query(_top(_L2))
+def top_k_of_repeated_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row found twice, once at a greater distance: the better one counts."""
+    v = _vectors(spark, sf_dir)
+    r = exact.knn(v, _queries(v), 2 * K)
+    return _round(exact.top_k(r.unionByName(r.withColumn("distance", F.col("distance") + 1)), K, dedup=True), "distance")
+
+
 @_query(f"{_V}, s AS (SELECT list(list_inner_product(e, e) ORDER BY list_inner_product(e, e)) AS x FROM v) SELECT round(x[(floor((len(x) - 1) * 95 / 100))::INT + 1], 6) AS percentile FROM s")
 def percentile_lower_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _vectors(spark, sf_dir).select(V.norm_squared(F.col("embedding")).alias("n"))

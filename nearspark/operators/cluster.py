@@ -15,8 +15,8 @@ def hash_sample(vectors: DataFrame, n: int, seed: int = 1234) -> DataFrame:
     return vectors.orderBy(F.xxhash64("row_id", F.lit(seed)), "row_id").limit(n)
 
 
-def assign_nearest(vectors: DataFrame, centroids: DataFrame, most: int = 65_536) -> DataFrame:
-    """``vectors`` with list_id and coarse_distance: the nearest centroid by squared L2, ties to the lower id.
+def assign_nearest(vectors: DataFrame, centroids: DataFrame, most: int = 65_536, penalty: dict[int, float] | None = None) -> DataFrame:
+    """``vectors`` with list_id and coarse_distance: the nearest centroid by squared L2 plus the list's penalty, ties to the lower id.
 
     centroids (list_id, centroid) are broadcast; more than ``most`` raise an error.
     """
@@ -24,12 +24,15 @@ def assign_nearest(vectors: DataFrame, centroids: DataFrame, most: int = 65_536)
     if got.num_rows > most:
         raise ValueError(f"more than {most} centroids")
     d = len(got.column("centroid")[0])
-    held = vectors.sparkSession.sparkContext.broadcast((got.column("list_id").to_numpy(), kernels.matrix(got.column("centroid"), d)))
+    extra = np.array([(penalty or {}).get(i, 0.0) for i in got.column("list_id").to_pylist()])
+    held = vectors.sparkSession.sparkContext.broadcast((got.column("list_id").to_numpy(), kernels.matrix(got.column("centroid"), d), extra))
 
     def run(batches):
-        ids, c = held.value
+        ids, c, more = held.value
         for b in batches:
-            at, dist = kernels.nearest(kernels.matrix(b.column("embedding"), d), c)
+            cost = kernels.distances(kernels.matrix(b.column("embedding"), d), c, "l2") + more
+            at = cost.argmin(axis=1)
+            dist = cost[np.arange(len(at)), at]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids[at].astype(np.int32)), pa.array(dist)], [*b.schema.names, "list_id", "coarse_distance"])
 
     kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema.fields)
@@ -55,38 +58,51 @@ def repair_empty(centroids: DataFrame, sizes: DataFrame, nlist: int) -> DataFram
 
 
 def coreset(vectors: DataFrame, k: int, d: int, chunk: int = 10_000, seed: int = 1234) -> DataFrame:
-    """k weighted centroids of each chunk of a partition: (centroid, weight). The partial step of a two-step k-means."""
+    """k weighted centroids of each chunk of a partition: (centroid, weight). The partial step of a two-step k-means.
+
+    vectors: embedding, or the (centroid, weight) of earlier coresets, which are condensed further.
+    """
+    rows = vectors.select(F.col("centroid").alias("embedding"), "weight") if "weight" in vectors.columns else vectors.select("embedding", F.lit(1.0).alias("weight"))
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, chunk):
-                v = kernels.matrix(b.column("embedding").slice(lo, chunk), d)
-                c = kernels.kmeans(v, min(k, len(v)), 15, seed)
-                n = np.bincount(kernels.nearest(v, c)[0], minlength=len(c))
+                v, w = kernels.matrix(b.column("embedding").slice(lo, chunk), d), b.column("weight").slice(lo, chunk).to_numpy()
+                c = kernels.kmeans(v, min(k, len(v)), 15, seed, weight=w)
+                n = np.bincount(kernels.nearest(v, c)[0], w, minlength=len(c))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(0, c.size + 1, d, dtype=np.int32)), pa.array(c.ravel()))
                 yield pa.RecordBatch.from_arrays([flat, pa.array(n.astype(np.float64))], ["centroid", "weight"])
 
-    return vectors.select("embedding").mapInArrow(run, "centroid array<double>, weight double")
+    return rows.mapInArrow(run, "centroid array<double>, weight double")
+
+
+#: Weighted rows that the driver clusters; more are condensed in the executors first.
+MOST_CORESET = 200_000
 
 
 def finish_coreset(parts: DataFrame, k: int, seed: int = 1234) -> np.ndarray:
-    """Weighted k-means over the coreset (k rows per chunk on the driver)."""
-    got = parts.where("weight > 0").orderBy("centroid").toArrow()
-    d = len(got.column("centroid")[0])
-    return kernels.kmeans(kernels.matrix(got.column("centroid"), d), k, seed=seed, weight=got.column("weight").to_numpy())
+    """Weighted k-means over the coreset: k centroids. The driver sees MOST_CORESET rows at most."""
+    parts = parts.where("weight > 0")
+    head = parts.select(F.size("centroid").alias("d")).head()
+    if head is None:
+        raise ValueError("no training vectors")
+    for _ in range(16):
+        rows = parts.count()
+        if rows <= MOST_CORESET:
+            break
+        # chunks of ten rows a centroid make a tenth of the rows
+        parts = coreset(parts.repartition(max(1, rows // MOST_CORESET), "centroid"), k, head.d, 10 * k, seed).where("weight > 0").persist()
+    got = parts.orderBy("centroid").limit(MOST_CORESET).toArrow()
+    return kernels.kmeans(kernels.matrix(got.column("centroid"), head.d), k, seed=seed, weight=got.column("weight").to_numpy())
 
 
 def balanced_assign(vectors: DataFrame, centroids: DataFrame, factor: float = 0.1, rounds: int = 3) -> DataFrame:
     """assign_nearest with factor * ln(list size) added to each list's distance; sizes come from the round before."""
     n = {r.list_id: 0 for r in centroids.select("list_id").collect()}
     rows = assign_nearest(vectors, centroids)
-    cols = vectors.columns
     for _ in range(rounds):
         n |= {r.list_id: r["count"] for r in rows.groupBy("list_id").count().collect()}
-        penalty = F.create_map(*[F.lit(x) for i, c in sorted(n.items()) for x in (i, factor * float(np.log(max(c, 1))))])
-        pairs = vectors.join(F.broadcast(centroids))
-        cost = F.struct((V.l2_squared(F.col("embedding"), F.col("centroid")) + penalty[F.col("list_id")]).alias("cost"), "list_id")
-        rows = pairs.groupBy(*cols).agg(F.min(cost).alias("best")).select(*cols, "best.list_id", F.col("best.cost").alias("coarse_distance"))
+        rows = assign_nearest(vectors, centroids, penalty={i: factor * float(np.log(max(c, 1))) for i, c in n.items()})
     return rows
 
 

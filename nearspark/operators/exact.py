@@ -1,8 +1,7 @@
 """Exact nearest neighbours, filters and padding.
 
 ``knn`` deals queries and rows to a grid of blocks and keeps each block's k best in numpy;
-only k rows per query and block are shuffled. ``knn_sql`` is the same as a plain join,
-for small query sets given by literal size.
+only k rows per query and block are shuffled.
 """
 
 from __future__ import annotations
@@ -34,23 +33,21 @@ def prefilter(vectors: DataFrame, allowed: DataFrame) -> DataFrame:
     return vectors.join(allowed.where("row_id >= 0").select("row_id").distinct(), "row_id", "left_semi")
 
 
-def knn_sql(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """By a join on the condition of sizes alone: for a handful of queries (at most BROADCAST_QUERIES, checked)."""
-    n = queries.limit(BROADCAST_QUERIES + 1).count()
-    if n > BROADCAST_QUERIES:
-        return knn(vectors, queries, k, metric)
-    pairs = vectors.join(F.broadcast(queries))
-    return top_k(pairs.select("query_id", "row_id", V.distance(F.col("q"), F.col("embedding"), metric).alias("distance")), k)
-
-
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """k nearest rows of every query. vectors: row_id, embedding; queries: query_id, q. All pairs are looked at, in blocks."""
+    """k nearest rows of every query. vectors: row_id, embedding; queries: query_id, q. All pairs are looked at, in blocks.
+
+    Rows and queries with a null id or vector take no part; a vector of another length than
+    the queries' commonest, or with a null or non-finite component, is an error.
+    """
     if k <= 0:
         raise ValueError("k must be positive")
     spark = vectors.sparkSession
+    queries, vectors = queries.where("query_id is not null and q is not null"), vectors.where("row_id is not null and embedding is not null")
     # the queries are broadcast in blocks of checked size, one pass over the rows for each
-    head = queries.select(F.size("q").alias("d")).limit(1).collect()
+    head = queries.groupBy(F.size("q").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     d = head[0].d if head else 1
+    queries = validate(queries.select("query_id", "q"), d, "q")
+    vectors = validate(vectors.select("row_id", "embedding"), d) if head else vectors.select("row_id", "embedding").where("false")
     per = max(1, min(BROADCAST_QUERIES, BROADCAST_BYTES // (8 * max(d, 1))))
     total = queries.count()
     blocks = max(1, -(-total // per))
@@ -67,8 +64,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> D
                 rows = batch.column("row_id").to_numpy()
                 for lo in range(0, len(ids), QUERY_BLOCK):
                     own = q[lo : lo + QUERY_BLOCK]
-                    dist = kernels.distances(own, v, metric)
-                    at, best = kernels.smallest(dist, rows, k)
+                    at, best = kernels.best(own, v, rows, k, metric)
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[lo : lo + QUERY_BLOCK], at.shape[1])), pa.array(rows[at].ravel()), pa.array(best.ravel())], ["query_id", "row_id", "distance"])
 
         one = vectors.select(F.col("row_id").cast("long"), V.as_double(F.col("embedding")).alias("embedding")).mapInArrow(scan, "query_id long, row_id long, distance double")

@@ -7,8 +7,9 @@ before anything is shuffled by query.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import json
-import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,35 @@ class Model:
         elif config.index_type == "ivf_rq":
             self.rq = kernels.RotatedQuantizer(config.dimension, config.rq_bits)
 
+    def arrays(self) -> dict[str, np.ndarray]:
+        """All that training has left, by name."""
+        out = {k: v for k in ("centroids", "rotation", "low", "high") if (v := getattr(self, k)) is not None}
+        return out | {f"book{i}": b for i, b in enumerate(self.pq.books if self.pq else [])}
+
+    def digest(self) -> str:
+        h = hashlib.sha256(json.dumps(self.config.__dict__, sort_keys=True).encode())
+        for k, v in sorted(self.arrays().items()):
+            h.update(k.encode() + repr(v.shape).encode() + np.ascontiguousarray(v, "<f8").tobytes())
+        return h.hexdigest()
+
+    def to_bytes(self) -> bytes:
+        out = io.BytesIO()
+        np.savez(out, **self.arrays())
+        return out.getvalue()
+
+    @classmethod
+    def from_bytes(cls, config: IndexConfig, raw: bytes) -> Model:
+        m = cls.__new__(cls)
+        with np.load(io.BytesIO(raw), allow_pickle=False) as got:
+            m.config, m.centroids = config, got["centroids"]
+            m.rotation, m.low, m.high = (got[k] if k in got else None for k in ("rotation", "low", "high"))
+            books = [got[f"book{i}"] for i in range(sum(k.startswith("book") for k in got))]
+        d, n = config.dimension, len(books)
+        offsets = np.concatenate([[0], np.cumsum([d // n + (i < d % n) for i in range(n)])]).tolist() if n else []
+        m.pq = kernels.ProductQuantizer(offsets, books, config.pq_bits) if n else None
+        m.rq = kernels.RotatedQuantizer(d, config.rq_bits) if config.index_type == "ivf_rq" else None
+        return m
+
     def turn(self, x: np.ndarray) -> np.ndarray:
         return x if self.rotation is None else x @ self.rotation.T
 
@@ -65,7 +95,7 @@ class Model:
             codes = self.pq.encode(self.turn(rest if self.config.metric == "l2" else v))
             return at, kernels.pack4(codes) if self.config.pq_bits == 4 else codes
         levels, factors = self.rq.encode(rest)
-        return at, np.concatenate([levels, factors.astype("<f4").view(np.uint8).reshape(len(v), -1)], axis=1)
+        return at, np.concatenate([kernels.pack_planes(levels, self.config.rq_bits), factors.astype("<f4").view(np.uint8).reshape(len(v), -1)], axis=1)
 
     def score(self, q: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
         """Distances of one query to the rows of one list."""
@@ -80,8 +110,8 @@ class Model:
             codes = kernels.unpack4(codes) if self.config.pq_bits == 4 else codes
             d = self.pq.scan(self.pq.table(self.turn(q - c if metric == "l2" else q), metric), codes)
             return d / 2 if metric == "cosine" else d
-        p = self.rq.padded
-        levels, factors = codes[:, :p].astype(np.float64), np.ascontiguousarray(codes[:, p:]).view("<f4").astype(np.float64)
+        p = self.rq.padded // 8 * self.config.rq_bits
+        levels, factors = kernels.unpack_planes(codes[:, :p], self.config.rq_bits).astype(np.float64), np.ascontiguousarray(codes[:, p:]).view("<f4").astype(np.float64)
         if metric == "l2":
             r = q - c
             return np.maximum(factors[:, 1] ** 2 + r @ r - 2 * self.rq.inner(self.rq.rotate(r[None])[0], levels, factors), 0)
@@ -112,8 +142,10 @@ class IvfIndex:
 
     @classmethod
     def build(cls, vectors: DataFrame, config: IndexConfig) -> IvfIndex:
+        if config.index_type == "diskann":
+            raise ValueError("a graph index is built by GraphIndex")
         model = cls.train(vectors, config)
-        return cls(model, cls.encode(model, vectors))
+        return cls(model, cls.encode(model, vectors).persist())  # searches read the lists several times
 
     @staticmethod
     def encode(model: Model, vectors: DataFrame) -> DataFrame:
@@ -133,7 +165,7 @@ class IvfIndex:
 
     def merge(self, other: IvfIndex) -> IvfIndex:
         """Lists of both, if both come from one trained model."""
-        if pickle.dumps(self.model) != pickle.dumps(other.model):
+        if self.model.digest() != other.model.digest():
             raise ValueError("only indexes of one model can be merged")
         return IvfIndex(self.model, self.lists.unionByName(other.lists))
 
@@ -145,14 +177,16 @@ class IvfIndex:
         """Parquet, one folder per list and rows in id order, so that a search reads the lists it probes; the model beside it."""
         spark = self.lists.sparkSession
         self.lists.repartition("list_id").sortWithinPartitions("list_id", "row_id").write.partitionBy("list_id").parquet(f"{path}/lists")
-        about = json.dumps(self.metadata())
-        spark.createDataFrame(pa.table({"metadata": [about], "model": pa.array([pickle.dumps(self.model)], pa.binary())})).coalesce(1).write.parquet(f"{path}/model")
+        about, config = json.dumps(self.metadata()), json.dumps(self.model.config.__dict__)
+        spark.createDataFrame(pa.table({"metadata": [about], "config": [config], "model": pa.array([self.model.to_bytes()], pa.binary())})).coalesce(1).write.parquet(f"{path}/model")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IvfIndex:
-        """Open a folder that save() wrote. Models are pickles: open only folders you trust."""
+        """Open a folder that save() wrote."""
         row = spark.read.parquet(f"{path}/model").head()
-        index = cls(pickle.loads(row.model), spark.read.schema("row_id long, code binary, list_id int").parquet(f"{path}/lists"))
+        if row is None or {"metadata", "config", "model"} - set(row.asDict()):
+            raise ValueError(f"{path} holds no index of a known format")
+        index = cls(Model.from_bytes(IndexConfig(**json.loads(row.config)), row.model), spark.read.schema("row_id long, code binary, list_id int").parquet(f"{path}/lists"))
         if (n := index.lists.count()) != json.loads(row.metadata)["total_vectors"]:
             raise ValueError(f"the lists hold {n} rows, not as many as were written")
         return index
@@ -177,6 +211,7 @@ class IvfIndex:
 
     def _scan(self, probes: DataFrame, lists: DataFrame, k: int) -> DataFrame:
         held, d = self.held, self.model.config.dimension
+        lists = lists.join(F.broadcast(probes.select("list_id").distinct()), "list_id", "left_semi")  # nlist numbers at most
         parts = lists.groupBy("list_id").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
         own = lists.join(parts, "list_id").select(F.col("list_id").alias("list_id"), F.pmod(F.xxhash64("row_id"), F.col("parts")).cast("int").alias("part"), "row_id", "code")
         asked = probes.join(parts, "list_id").select("list_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "query_id", "q")
@@ -213,7 +248,7 @@ class IvfIndex:
         while True:
             new = self._scan(self.probe(pending, at, width), lists, params.k)
             both = new if found is None else found.select("query_id", "row_id", "distance").unionByName(new)
-            found = exact.top_k(both, params.k, dedup)
+            found = exact.top_k(both, params.k, dedup).persist()  # later rounds add to it
             if width >= c.nlist or not need:
                 return found
             done = found.groupBy("query_id").count().where(F.col("count") >= need).select("query_id")

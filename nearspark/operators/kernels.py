@@ -14,13 +14,16 @@ def matrix(column, width: int) -> np.ndarray:
 
 def distances(q: np.ndarray, v: np.ndarray, metric: str) -> np.ndarray:
     """Ranking distances of every query to every row."""
-    dot = q @ v.T
     if metric == "inner_product":
-        return -dot
+        return -(q @ v.T)
     if metric == "cosine":
+        dot = q @ v.T
         norm = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :]
         return np.where(norm > 0, 1 - dot / np.where(norm > 0, norm, 1), 1.0)
-    return np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * dot, 0)
+    # around the rows' mean, so that what all vectors have in common doesn't eat up the digits
+    centre = v.mean(axis=0) if len(v) else 0.0
+    q, v = q - centre, v - centre
+    return np.maximum((q * q).sum(1)[:, None] + (v * v).sum(1)[None, :] - 2 * (q @ v.T), 0)
 
 
 def smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -36,6 +39,16 @@ def smallest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return order, np.take_along_axis(dist, order, axis=1)
 
 
+def best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int, metric: str, margin: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and distances of each query's k nearest rows; squared L2 of the nearest few is summed up directly, and they are ranked by that."""
+    at, found = smallest(distances(q, v, metric), ids, k + margin if metric == "l2" else k)
+    if metric != "l2":
+        return at, found
+    found = np.stack([((v[rows] - x) ** 2).sum(axis=1) for x, rows in zip(q, at)]) if len(q) else found
+    order = np.lexsort((ids[at], found), axis=1)[:, :k]
+    return np.take_along_axis(at, order, axis=1), np.take_along_axis(found, order, axis=1)
+
+
 def nearest(v: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of and squared distance to the nearest centroid, ties to the lower index."""
     d = distances(v, centroids, "l2")
@@ -161,6 +174,19 @@ def train_opq(v: np.ndarray, m: int, bits: int = 8, rounds: int = 20, seed: int
     return r
 
 
+def pack_planes(levels: np.ndarray, bits: int) -> np.ndarray:
+    """Levels of so many bits as bit planes, the lowest first: one bit of each component in a plane."""
+    return np.concatenate([np.packbits(levels >> b & 1, axis=1) for b in range(bits)], axis=1)
+
+
+def unpack_planes(planes: np.ndarray, bits: int) -> np.ndarray:
+    width = planes.shape[1] // bits
+    out = np.zeros((len(planes), width * 8), np.uint8)
+    for b in range(bits):
+        out |= np.unpackbits(planes[:, b * width : (b + 1) * width], axis=1) << b
+    return out
+
+
 class RotatedQuantizer:
     """Bit-plane codes of randomly rotated vectors with an unbiased inner-product estimate."""
 

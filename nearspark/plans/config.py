@@ -11,6 +11,7 @@ METRICS = ("l2", "inner_product", "cosine")
 SEED = 1234
 #: Graph presets: max degree, build list, alpha, raw encoding, build distance. Fixed values.
 PRESETS = {"fast": (48, 64, 1.15, "f16", "pq"), "balanced": (64, 100, 1.2, "f16", "pq"), "high": (96, 200, 1.2, "f32", "full")}
+#: Names of options. Fixed values.
 KEYS = frozenset(
     "index.type dimension metric nlist expected-vector-count target-recall max-bytes-per-vector max-build-seconds deployment-profile pq.m pq.code-ratio pq.bits use-opq rq.bits "
     "diskann.build-preset diskann.seed diskann.memory-budget-bytes diskann.max-degree diskann.build-search-list-size diskann.alpha diskann.storage-layout diskann.raw-vector-encoding diskann.build-distance".split()
@@ -35,7 +36,9 @@ def infer_nprobe(nlist: int, n: int, k: int, matching: int | None = None, cap: i
     if matching is None or matching >= n:
         return base
     grown = min(nlist, -(-base * n // matching))
-    return min(grown, base * cap) if cap else grown
+    if cap is not None and cap <= 0:
+        raise ValueError("the filter-expansion cap must be positive")
+    return grown if cap is None else min(grown, base * cap)
 
 
 def infer_l_search(k: int) -> int:
@@ -81,7 +84,7 @@ def nlist_for_partition(n: int, target: int) -> int:
 def bytes_per_vector(config: IndexConfig) -> float:
     """Estimated stored bytes of a row, ids of 8 bytes included."""
     d = config.dimension
-    payload = {"ivf_flat": 4 * d, "ivf_sq": d, "ivf_pq": config.pq_m * config.pq_bits / 8, "ivf_rq": -(-d // 64) * 8 * config.rq_bits + (8 if config.rq_bits == 1 else 20)}
+    payload = {"ivf_flat": 4 * d, "ivf_sq": d, "ivf_pq": config.pq_m * config.pq_bits / 8, "ivf_rq": -(-d // 64) * 8 * config.rq_bits + 12}
     graph = 4 * config.max_degree + d * (2 if config.raw_encoding == "f16" else 4) + config.pq_m * config.pq_bits / 8
     return 8 + payload.get(config.index_type, graph)
 
@@ -119,6 +122,7 @@ class IndexConfig:
             need(1 <= self.rq_bits <= 8, "rq.bits must be 1 to 8")
         if self.index_type == "diskann":
             need(self.dimension <= 1024 and 1 <= self.max_degree <= 1023 and self.build_l >= self.max_degree, "graph sizes out of bounds")
+            need(self.pq_m > 0, "pq.m must be positive")
             need(math.isfinite(self.alpha) and self.alpha >= 1 and self.pq_m <= self.dimension and self.pq_bits in (4, 8), "graph options out of bounds")
 
     @classmethod
@@ -176,10 +180,12 @@ class BuildPlan:
                 values["nlist"] = int(given)
         if kind == "ivf_pq":
             ratio = take("pq.code-ratio", float, 0.0625)
-            values["pq_m"] = take("pq.m", int) or infer_uniform_pq_m(d, 8, ratio)
+            given = take("pq.m", int)
+            values["pq_m"] = infer_uniform_pq_m(d, 8, ratio) if given is None else given
             values["use_opq"] = take("use-opq", bool, recall is not None and recall >= 0.9)
         if kind == "ivf_rq":
-            values["rq_bits"] = take("rq.bits", int) or (infer_rq_bits(d, most - 10) if most is not None else 4)
+            given = take("rq.bits", int)
+            values["rq_bits"] = given if given is not None else infer_rq_bits(d, most - 10) if most is not None else 4
         if kind == "diskann":
             preset = take("diskann.build-preset") or ("high" if recall is not None and recall >= 0.97 else "fast" if recall is not None and recall <= 0.85 else "balanced")
             if preset not in PRESETS:
@@ -187,7 +193,7 @@ class BuildPlan:
             r, l, alpha, raw, by = PRESETS[preset]
             bits = take("pq.bits", int, 8)
             values |= {
-                "pq_bits": bits, "pq_m": take("pq.m", int) or infer_pq_m(d, bits, take("pq.code-ratio", float, 0.0625)), "seed": take("diskann.seed", int, 42),
+                "pq_bits": bits, "pq_m": m if (m := take("pq.m", int)) is not None else infer_pq_m(d, bits, take("pq.code-ratio", float, 0.0625)), "seed": take("diskann.seed", int, 42),
                 "max_degree": take("diskann.max-degree", int, r), "build_l": take("diskann.build-search-list-size", int, l), "alpha": take("diskann.alpha", float, alpha),
                 "raw_encoding": take("diskann.raw-vector-encoding", str, raw), "build_distance": take("diskann.build-distance", str, by),
                 "storage_layout": take("diskann.storage-layout", str, "compact"), "memory_budget": take("diskann.memory-budget-bytes", int, 8 << 30),
@@ -209,7 +215,7 @@ class SearchParams:
     max_filter_expansion: int | None = None
 
     def __post_init__(self):
-        for name in ("k", "nprobe", "l_search"):
+        for name in ("k", "nprobe", "l_search", "max_filter_expansion"):
             if (v := getattr(self, name)) is not None and v <= 0:
                 raise ValueError(f"{name} must be positive")
         if self.max_filter_expansion is not None and self.nprobe is not None:

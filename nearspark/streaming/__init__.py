@@ -1 +1 @@
-
+"""Structured Streaming: training in micro-batches."""
