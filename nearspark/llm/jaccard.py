@@ -267,13 +267,13 @@ class _Known:
         other labels) and work (pairs to look at). Cells without work are left out. A staged table."""
         rows = stage(cells.where("node != pivot").join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "jaccard-tagged")
         most = max(rows.count(), 1)
-        own = rows.groupBy("cell", "pivot").agg(F.count("*").alias("points")).join(self.labels.select(F.col("node").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
-        own = stage(own.where("points > 1"), "jaccard-own")
-        hot = F.col("points") * common.HOT_PART > most
-        counts = stage(common.hot_join(rows, own.drop("pivot"), ["cell"], hot).where("label != own").groupBy("cell").agg(F.count("*").alias("others")), "jaccard-others")
-        sizes = stage(own.join(counts, "cell").withColumn("work", F.col("points") * F.col("others")).drop("pivot"), "jaccard-sizes")
-        out = stage(common.hot_join(rows, sizes, ["cell"], hot), "jaccard-weighed")
-        unstage(rows, own, counts, sizes)
+        # counts by label tell how many others there are, without a join of the rows
+        counts = rows.groupBy("cell", "pivot", "label").agg(F.count("*").alias("c"))
+        counts = counts.join(self.labels.select(F.col("node").alias("pivot"), F.col("label").alias("own")), "pivot", "left").withColumn("own", F.coalesce("own", "pivot"))
+        sizes = counts.groupBy("cell", "own").agg(F.sum("c").alias("points"), F.sum(F.when(F.col("label") != F.col("own"), F.col("c")).otherwise(0)).alias("others"))
+        sizes = stage(sizes.where("points > 1 and others > 0").withColumn("work", F.col("points") * F.col("others")), "jaccard-sizes")
+        out = stage(common.hot_join(rows, sizes, ["cell"], F.col("points") * common.HOT_PART > most), "jaccard-weighed")
+        unstage(rows, sizes)
         return out
 
 
