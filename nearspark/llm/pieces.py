@@ -63,7 +63,8 @@ class Viterbi:
 
     def finish(self) -> list[int]:
         out = self._search(len(self.text))
-        return out + self._trace(0, len(self.text))
+        out += self._trace(0, len(self.text))
+        return out
 
     def _search(self, stop: int) -> list[int]:
         """Leave all positions before ``stop``; the ids committed by that."""
@@ -79,21 +80,20 @@ class Viterbi:
             before = last[i]
             if before is None:
                 continue
-            if i == far and i > base:
+            if i == far and i > base and stop < n:  # at the text's end all that is left is committed anyhow
                 out += self._trace(base, i)
                 base = i
-            node = trie.get(text[i])
-            if node is None or 0 not in node:  # a character of no piece: its bytes
-                own = score[i] + m.worst
-                if last[i + 1] is None or not bpe and own > score[i + 1]:
-                    score[i + 1], last[i + 1], start[i + 1] = own, -2, i
+            step = trie.get(text[i])
+            if step is None or step[0] < 0:  # a character of no piece: its bytes
+                if last[i + 1] is None or not bpe and score[i] + m.worst > score[i + 1]:
+                    score[i + 1], last[i + 1], start[i + 1] = score[i] + m.worst, -2, i
                 if far <= i:
                     far = i + 1
             k = i
-            while node is not None:
+            while step is not None:
                 k += 1
-                piece = node.get(0)
-                if piece is not None:
+                piece, node = step
+                if piece >= 0:
                     if bpe:  # one path survives at each position
                         if last[k] is None:
                             ok = before < 0 or pairs.get(before << 32 | piece)
@@ -107,9 +107,11 @@ class Viterbi:
                             score[k], last[k], start[k] = own, piece, i
                             if k > far:
                                 far = k
-                node = node.get(text[k]) if k < n else None
+                if node is None or k == n:
+                    break
+                step = node.get(text[k])
         at = max(at, stop)
-        if n - base >= 3 * m.longest:  # paths that overlap may have one boundary behind them all the same
+        if stop < n and n - base >= 3 * m.longest:  # paths that overlap may have one boundary behind them all the same
             open_ = {k for k in range(at, far + 1) if last[k] is not None}
             while len(open_) > 1 and max(open_) > base:
                 k = max(open_)
@@ -127,12 +129,16 @@ class Viterbi:
         return out
 
     def _trace(self, base: int, end: int) -> list[int]:
-        out: list[int] = []
+        out, last, start = [], self.last, self.start
         while end > base:
-            piece = self.last[end]
-            out += [piece] if piece >= 0 else self.model.bytes_of(self.text[self.start[end] : end])[::-1]
-            end = self.start[end]
-        return out[::-1]
+            piece = last[end]
+            if piece >= 0:
+                out.append(piece)
+            else:
+                out += self.model.bytes_of(self.text[start[end] : end])[::-1]
+            end = start[end]
+        out.reverse()
+        return out
 
 
 class Memory(dict):
@@ -198,12 +204,14 @@ class Model:
         else:
             self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not any("\n" in p for p in self.ids) else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.joints = {p[i : i + 2] for p in self._all for i in range(len(p) - 1)}
-        self.trie: dict = {}
+        trie: dict = {}
         for piece, i in self.ids.items():
-            node = self.trie
+            node = trie
             for c in piece:
-                node = node.setdefault(c, {})
-            node[0] = i
+                step = node.setdefault(c, [-1, {}])
+                node = step[1]
+            step[0] = i
+        self.trie = _frozen(trie)
         self.pairs: dict[int, bool] = {}
         self.memory = Memory(self)
 
@@ -237,6 +245,9 @@ class Model:
     def segment(self, text: str) -> list[int]:
         """Ids of a stretch that shares its ends with every path: a whole text's, if no boundary in it is known beforehand."""
         search, out = Viterbi(self), []
+        if len(text) <= CHUNK:  # all of it is in the window
+            search.text = text
+            return search.finish()
         for lo in range(0, len(text), CHUNK):
             out += search.push(text[lo : lo + CHUNK])
         return out + search.finish()
@@ -270,6 +281,11 @@ class Model:
         return text.replace(SPACE, " ")
 
 
+def _frozen(node: dict) -> dict | None:
+    """A trie's node: by character the piece that ends there (-1: none) and the node behind it (None: nothing)."""
+    return {c: (piece, _frozen(after)) for c, (piece, after) in node.items()} or None
+
+
 _MARK = SPACE.encode()
 
 
