@@ -17,6 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 #: Bytes of text that one numpy pass looks at; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts, where the session has no setting of its own: a batch is held whole on both sides of a worker's pipe.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Of the keys with more than a thousandth of the rows there are fewer than a thousand, so that they can be broadcast.
 HOT_PART = 1000
@@ -98,6 +101,12 @@ def local(spark: SparkSession, schema: pa.Schema, rows: list[dict]) -> DataFrame
     return spark.createDataFrame(pa.Table.from_pylist(rows, schema))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have BATCH_ROWS rows, unless it sets their size. It stays so, as lazy results read the setting when they run."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def trim() -> None:
     """Give freed memory back to the system, where its C library can: workers that wait between tasks otherwise keep it."""
     gc.collect()
@@ -109,6 +118,7 @@ def trim() -> None:
 
 def with_columns(docs: DataFrame, text_col: str, run: Callable, new: T.StructType, after: Callable = lambda: None) -> DataFrame:
     """``docs`` with the columns that ``run`` gives for each Arrow array of ``text_col``'s values (any names; columns named like new ones are replaced)."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in new.names]
     # numbered columns can't clash, and have no dots, which mapInArrow doesn't take
     rest = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.col(f"`{text_col}`").alias("text"))

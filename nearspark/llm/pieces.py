@@ -33,6 +33,9 @@ PAIRS = 500_000
 #: Characters that are pushed at a time, and of the longest stretch that is remembered.
 CHUNK = 1024
 WINDOW = 64
+#: Characters of a long text that are cut into stretches at a time, up to the next space mark.
+BLOCK = 1 << 16
+EDGE = re.compile(f"[^ {SPACE}](?=[ {SPACE}])")
 BPE, UNIGRAM = 2, 1
 #: A word and the marks after it.
 TAIL = re.compile(r"(.*\w)(\W+)")
@@ -256,11 +259,17 @@ class Model:
         """The ids as the bytes of an array."""
         if not text:
             return b""
-        text = text.replace(" ", SPACE)
-        text = SPACE + text if self.prefix else text
         if self.cut is None:
-            return array("i", self.segment(text)).tobytes()
-        return b"".join(map(self.memory.__getitem__, self.cut.findall(text)))
+            text = text.replace(" ", SPACE)
+            return array("i", self.segment(SPACE + text if self.prefix else text)).tobytes()
+        out, lo = [], 0
+        while lo < len(text):
+            edge = EDGE.search(text, lo + BLOCK)  # no piece crosses the place before a space mark
+            hi = edge.end() if edge else len(text)
+            part = text[lo:hi].replace(" ", SPACE)
+            out.append(b"".join(map(self.memory.__getitem__, self.cut.findall(SPACE + part if self.prefix and not lo else part))))
+            lo = hi
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
         return array("i", self.raw(text)).tolist()
@@ -347,6 +356,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     empty texts have no ids and are exact. Repeated rows are coded each; an empty table gives
     no rows; a null id stays null; other columns aren't read.
     """
+    common.small_batches(docs.sparkSession)
     rest = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -237,6 +237,17 @@ def test_pieces(docs, none):
     assert pieces.encode(none, path).count() == 0
 
 
+def test_pieces_in_blocks(monkeypatch):
+    path, rng = public_tokenizers.path("piece_bpe_32k.model"), random.Random(11)
+    import sentencepiece
+
+    lib, own = sentencepiece.SentencePieceProcessor(model_file=path), pieces.model(path)
+    monkeypatch.setattr(pieces, "BLOCK", 40)
+    for _ in range(500):
+        t = "".join(rng.choice([" ", "  ", "\n", " \n", pieces.SPACE, "a", "the", "Über", "\t", "字", "🙂", "word,"]) for _ in range(rng.randrange(300)))
+        assert own.encode(t) == lib.encode(t)
+
+
 def test_unigram_pieces(tmp_path):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as proto
