@@ -23,7 +23,7 @@ MOST_SOURCES = 1_000_000
 #: A nested pass takes documents of at most this part of what remains.
 FITS = 4
 PASSES = 3
-_STATE = pa.schema([("s", pa.string()), ("budget", pa.float64()), ("b", pa.string()), ("below", pa.int64())])
+_STATE = pa.schema([("s", pa.string()), ("budget", pa.float64()), ("b", pa.string()), ("below", pa.int64()), ("fits", pa.int64()), ("passed", pa.list_(pa.string()))])
 _PLAN = pa.schema([("__s", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("whole", pa.int32()), ("cuts", pa.list_(pa.struct([("fits", pa.int64()), ("cut", pa.string())])))])
 
 
@@ -54,17 +54,19 @@ def targets(sizes: dict, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     return out
 
 
-def _thresholds(keys: DataFrame, budgets: dict[str, float]) -> dict[str, tuple[str, int]]:
+def _thresholds(keys: DataFrame, budgets: dict[str, float], fits: dict[str, int], passed: dict[str, list[str]]) -> dict[str, tuple[str, int]]:
     """Per source the hash up to which its sizes stay within its budget, and what they come to.
 
+    Only documents of size ``fits`` at most and with hashes beyond those of the passes before (``passed``) count.
     A source that stays within its budget altogether is left out. The driver sees one row per source at each level.
     """
     spark, width = keys.sparkSession, 3
     state = {s: (b, "", 0) for s, b in budgets.items()}  # budget, boundary bucket so far, size before it
     done: dict[str, tuple[str, int]] = {}
     while state:
-        level = local(spark, _STATE, [{"s": s, "budget": float(b), "b": c, "below": n} for s, (b, c, n) in state.items()])
-        inside = keys.withColumn("b", F.substring("key", 1, width - 3)).join(F.broadcast(level), ["s", "b"])
+        level = local(spark, _STATE, [{"s": s, "budget": float(b), "b": c, "below": n, "fits": fits[s], "passed": passed[s]} for s, (b, c, n) in state.items()])
+        open_ = (F.col("size") <= F.col("fits")) & F.forall("passed", lambda c: F.col("key") > c)
+        inside = keys.withColumn("b", F.substring("key", 1, width - 3)).join(F.broadcast(level), ["s", "b"]).where(open_)
         last = width > 6
         fine = inside.groupBy("s", "budget", "below", (F.col("key") if last else F.substring("key", 1, width)).alias("c")).agg(F.sum("size").alias("size"))
         run = F.sum("size").over(Window.partitionBy("s").orderBy("c")) + F.col("below")
@@ -96,21 +98,13 @@ class Plan:
         for name, target in goal.items():
             whole = min(int(target // sizes[name]), int(MOST_REPEATS)) if sizes[name] else 0
             self.rows["n" if name is None else "s" + name] = {"source_size": sizes[name], "target": target, "whole": whole, "left": target - whole * sizes[name], "cuts": []}
-        pool = self.keys
         for k in range(PASSES):
             need = {s: int(r["left"] // FITS) if k else 1 << 62 for s, r in self.rows.items() if r["left"] >= 1}
-            if not need:
-                break
-            limits = local(self.spark, pa.schema([("s", pa.string()), ("fits", pa.int64())]), [{"s": s, "fits": f} for s, f in need.items()])
-            fitting = pool.join(F.broadcast(limits), "s").where("size <= fits").drop("fits")
-            found = _thresholds(fitting, {s: self.rows[s]["left"] for s in need})
-            cuts = {}
+            found = _thresholds(self.keys, {s: self.rows[s]["left"] for s in need}, need, {s: [c["cut"] for c in self.rows[s]["cuts"]] for s in need})
             for s, fits in need.items():  # all that fit are within the budget where no threshold is found
-                cuts[s], spent = found.get(s, ("g", self.rows[s]["left"]))
-                self.rows[s]["cuts"].append({"fits": fits, "cut": cuts[s]})
+                cut, spent = found.get(s, ("g", self.rows[s]["left"]))
+                self.rows[s]["cuts"].append({"fits": fits, "cut": cut})
                 self.rows[s]["left"] -= spent
-            passed = local(self.spark, pa.schema([("s", pa.string()), ("cut", pa.string())]), [{"s": s, "cut": c} for s, c in cuts.items()])
-            pool = fitting.join(F.broadcast(passed), "s").where("key > cut").drop("cut")
 
     def _frame(self) -> DataFrame:
         return local(self.spark, _PLAN, [{"__s": s, "source_size": int(r["source_size"]), "target": float(r["target"]), "whole": r["whole"], "cuts": r["cuts"]} for s, r in self.rows.items()])
