@@ -18,7 +18,8 @@ are linked within distance 1/4 (``REACH``).
   as long as that makes less to compare.
 * In a small cell, points of different components are compared unless sizes, the
   triangle-inequality window of their distances to the pivot, or the masks prove them
-  apart. What no proof keeps apart is measured on the whole sets.
+  apart. The points, not the pairs, that no proof keeps apart go on with their whole sets,
+  which one task measures against each other; what it has connected it needn't measure.
 
 A pair is left out only by a proof or because its points are connected already. Shingles are
 64-bit hashes; sets count as equal if their size and two sums of differently mixed hashes
@@ -27,11 +28,11 @@ agree (of a single shingle: two hashes).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import common, dedup, kernels as K
 from .common import stage, unstage
@@ -52,8 +53,14 @@ MASK_BITS = (256, 1 << 16)
 LARGE = 250_000
 FAN = 8
 SIDE = 2048
+#: Shingles of a side that one task measures, about: 16 MB.
+SHINGLES = 1 << 21
 #: Pairs that numpy looks at together.
 BLOCK = 1 << 18
+#: What tells a task of compared points, and the columns of a point.
+KEYS = ["cell", "i", "j"]
+POINT = ["node", "n", "lo", "hi", "label"]
+POINT_TYPES = "node long, n long, lo double, hi double, label long"
 
 
 def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -234,17 +241,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 class _Known:
-    """What has been found so far: measured pairs, links and labels, as staged tables."""
+    """What has been found so far: links and labels, as staged tables."""
 
     def __init__(self, docs: DataFrame, info: DataFrame, links: DataFrame, n_words: int):
         self.docs, self.info, self.n_words, self.links = docs, info, n_words, links
-        self.labels, self.measured = None, []
+        self.labels = None
 
     def look(self, pairs: DataFrame) -> DataFrame:
         """pairs (pivot, node) with lo and hi, between which their distance is. Those that may be linked are measured; labels are brought up to date."""
         bounds = stage(_bounds(pairs, self.info), "jaccard-bounds")
         new = _measure(bounds.where("maybe"), self.docs, self.n_words)
-        self.take(new)
+        self.take(_links(new))
         exact = new.select("pivot", "node", (1 - F.col("common") / F.col("total")).alias("d"))
         # an id that several texts have stands for several points, to which no distance holds
         one = F.col("texts") == 1
@@ -254,9 +261,8 @@ class _Known:
         return out
 
     def take(self, new: DataFrame) -> None:
-        self.measured.append(new)
-        grew = _links(new).limit(1).count()
-        self.links = self.links.unionByName(_links(new))
+        grew = new.limit(1).count()
+        self.links = self.links.unionByName(new)
         if grew or self.labels is None:
             if self.labels is not None:
                 unstage(self.labels)
@@ -295,56 +301,20 @@ def _divide(known: _Known, cells: DataFrame) -> DataFrame:
     return out
 
 
-def _compare(cells: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (pivot, node) of points of different components that no proof keeps apart.
+def _dealt(rows: DataFrame, value: list[str]) -> DataFrame:
+    """rows (cell, other, o, t, *value) as (cell, i, j, asks, other, *value), in tasks (cell, i, j), sorted: the others of a cell, in o parts, meet all its points, in t parts."""
+    own = {s: F.pmod(F.xxhash64("node", F.lit(s)), F.col(s)).cast("int") for s in "ot"}
+    all_ = {s: F.explode(F.sequence(F.lit(0), F.col(s) - 1)) for s in "ot"}
+    left = rows.where("other").withColumn("i", own["o"]).withColumn("j", all_["t"])
+    right = rows.withColumn("j", own["t"]).withColumn("i", all_["o"])
+    both = [x.select(*KEYS, F.lit(asks).alias("asks"), "other", *value) for x, asks in ((left, True), (right, False))]
+    return both[0].unionByName(both[1]).repartition(*KEYS).sortWithinPartitions(*KEYS)
 
-    cells: cell, node, lo, hi, label, own, points, others. The others of a cell meet all its points, in tasks of SIDE points of either side.
-    """
-    rows = cells.join(info.select("node", "n", "mask"), "node")
-    sides = {"o": F.ceil(F.col("others") / SIDE).cast("int"), "t": F.ceil(F.col("points") / SIDE).cast("int")}
-    own = {s: F.pmod(F.xxhash64("node", F.lit(s)), n).cast("int") for s, n in sides.items()}
-    all_ = {s: F.explode(F.sequence(F.lit(0), n - 1)) for s, n in sides.items()}
-    value = ["node", "n", "lo", "hi", "label", "mask"]
-    left = rows.where("label != own").withColumn("i", own["o"]).withColumn("j", all_["t"]).select("cell", "i", "j", F.lit(True).alias("asks"), *value)
-    right = rows.withColumn("j", own["t"]).withColumn("i", all_["o"]).select("cell", "i", "j", F.lit(False).alias("asks"), *value)
-    keys = ["cell", "i", "j"]
-    dealt = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys)
-
-    def pairs_of(b: pa.Table) -> pa.RecordBatch:
-        asks = b.column("asks").to_numpy()
-        node, n, lo, hi, label = (b.column(c).to_numpy() for c in value[:5])
-        masks = [np.frombuffer(m.as_buffer(), np.uint64) for m in b.column("mask").combine_chunks()]
-        words = np.array([len(m) for m in masks])
-        tables = {}  # per width the masks that have it or, folded, twice of it: sets of sizes that fit have no others
-        for w in np.unique(words).tolist():
-            own = np.flatnonzero((words == w) | (words == 2 * w))
-            place = np.zeros(len(node), np.int64)
-            place[own] = np.arange(len(own))
-            tables[w] = np.stack([_folded(masks[k], w) for k in own.tolist()]), place
-        other = np.isin(node, node[asks])
-        found = [(np.empty(0, np.int64),) * 2]
-        at = np.flatnonzero(~asks)
-        block = max(1, BLOCK // max(len(at), 1))
-        ask = np.flatnonzero(asks)
-        for p in range(0, len(ask), block):
-            i = ask[p : p + block, None]
-            # a pair of two others is looked at from its smaller side
-            fits = (label[at] != label[i]) & (~other[at] | (node[at] > node[i])) & (DEN * np.minimum(n[at], n[i]) >= NUM * np.maximum(n[at], n[i]))
-            fits &= (lo[at] <= hi[i] + REACH + _EPS) & (lo[i] <= hi[at] + REACH + _EPS)
-            x, y = np.nonzero(fits)
-            x, y = ask[p + x], at[y]
-            width = np.minimum(words[x], words[y])
-            for w in np.unique(width).tolist():
-                table, place = tables[w]
-                u, v = x[width == w], y[width == w]
-                for k in range(0, len(u), SIDE):
-                    c, d = u[k : k + SIDE], v[k : k + SIDE]
-                    good = _may_link(n[c] + n[d], np.bitwise_count(table[place[c]] ^ table[place[d]]).sum(axis=1, dtype=np.int64))
-                    found.append((node[c[good]], node[d[good]]))
-        x, y = (np.concatenate(c) for c in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["pivot", "node"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_task(run: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """``run`` for each task (cell, i, j) of sorted rows."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[pa.Table] = []  # one task's points of a cell at most, and one batch
 
         for b in batches:
@@ -353,16 +323,113 @@ def _compare(cells: DataFrame, info: DataFrame) -> DataFrame:
             t = pa.Table.from_batches([b])
             if waiting:
                 t = pa.concat_tables([*waiting, t])
-            k = [t.column(c).to_numpy() for c in keys]
+            k = [t.column(c).to_numpy() for c in KEYS]
             cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in k])) + 1
             edges = [0, *cuts.tolist()]
             for lo, hi in zip(edges, edges[1:]):
-                yield pairs_of(t.slice(lo, hi - lo))
+                yield run(t.slice(lo, hi - lo))
             waiting = [t.slice(edges[-1])]
         if waiting:
-            yield pairs_of(waiting[0])
+            yield run(waiting[0])
+
+    return common.trimmed(whole)
+
+
+def _fitting(t: pa.Table, masks: list[np.ndarray], label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a task's rows, of labels that differ, that no proof keeps apart, and how many shingles at least are in one set only. Labels are read anew for every block."""
+    asks, other, node, n, lo, hi = (t.column(c).to_numpy() for c in ("asks", "other", "node", "n", "lo", "hi"))
+    words = np.array([len(m) for m in masks])
+    tables = {}  # per width the masks that have it or, folded, twice of it: sets of sizes that fit have no others
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero((words == w) | (words == 2 * w))
+        place = np.zeros(len(node), np.int64)
+        place[own] = np.arange(len(own))
+        tables[w] = np.stack([_folded(masks[k], w) for k in own.tolist()]), place
+    at, ask = np.flatnonzero(~asks), np.flatnonzero(asks)
+    block = max(1, BLOCK // max(len(at), 1))
+    for p in range(0, len(ask), block):
+        i = ask[p : p + block, None]
+        # two others meet twice in a cell, each asking once: the smaller one's turn counts
+        fits = (label[at] != label[i]) & (~other[at] | (node[at] > node[i])) & (DEN * np.minimum(n[at], n[i]) >= NUM * np.maximum(n[at], n[i]))
+        fits &= (lo[at] <= hi[i] + REACH + _EPS) & (lo[i] <= hi[at] + REACH + _EPS)
+        x, y = np.nonzero(fits)
+        x, y = ask[p + x], at[y]
+        width = np.minimum(words[x], words[y])
+        found = [(np.empty(0, np.int64),) * 3]
+        for w in np.unique(width).tolist():
+            table, place = tables[w]
+            u, v = x[width == w], y[width == w]
+            for k in range(0, len(u), SIDE):
+                c, d = u[k : k + SIDE], v[k : k + SIDE]
+                differ = np.bitwise_count(table[place[c]] ^ table[place[d]]).sum(axis=1, dtype=np.int64)
+                good = _may_link(n[c] + n[d], differ)
+                found.append((c[good], d[good], differ[good]))
+        yield tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _compare(cells: DataFrame, info: DataFrame) -> DataFrame:
+    """The points (cell, other, node, n, lo, hi, label) that no proof keeps apart from every point of another component in their cell: a row a point, however many they are near to.
+
+    cells: cell, node, lo, hi, label, own, points, others. Tasks have SIDE points of either side.
+    """
+    sides = {s: F.ceil(F.col(c) / SIDE).cast("int") for s, c in (("o", "others"), ("t", "points"))}
+    rows = cells.join(info.select("node", "n", "mask"), "node").withColumns(sides | {"other": F.col("label") != F.col("own")})
+    kept = ["cell", "other", *POINT]
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        masks = [np.frombuffer(m.as_buffer(), np.uint64) for m in t.column("mask").combine_chunks()]
+        near = np.zeros(len(masks), bool)
+        for x, y, _ in _fitting(t, masks, t.column("label").to_numpy()):
+            near[x] = near[y] = True
+        return pa.RecordBatch.from_arrays([pa.array(t.column(c).to_numpy()[near]) for c in kept], kept)
+
+    return _dealt(rows, [*POINT, "mask"]).mapInArrow(_by_task(run), f"cell long, other boolean, {POINT_TYPES}").dropDuplicates(["cell", "node", "n"])
+
+
+def _connect(near: DataFrame, docs: DataFrame, n_words: int) -> DataFrame:
+    """Labels (x, y) that links between the points of ``near`` (as _compare gives them) connect, a row a label and task at most. A staged table.
+
+    A task measures whole sets, the likeliest pairs first, and pairs that it has connected already not at all.
+    """
+    nodes = stage(near.select("node").distinct(), "jaccard-nodes")
+    sets = stage(_sets(docs, nodes, n_words), "jaccard-sets")
 
-    return dealt.mapInArrow(common.trimmed(run), "pivot long, node long").distinct()
+    def parts(s: str, mine: Column) -> Column:
+        return F.ceil(F.greatest(F.sum(mine.cast("int")) / SIDE, F.sum(F.when(mine, F.col("n")).otherwise(0)) / SHINGLES)).cast("int").alias(s)
+
+    sizes = near.groupBy("cell").agg(parts("o", F.col("other")), parts("t", F.lit(True)), F.count("*").alias("c"))
+    sizes = stage(sizes, "jaccard-sizes")
+    rows = common.hot_join(near, sizes, ["cell"], F.col("c") * common.HOT_PART > max(near.count(), 1))
+    rows = rows.join(sets, "node").where(F.octet_length("set") == 8 * F.col("n"))  # ids may have several texts
+
+    def run(t: pa.Table) -> pa.RecordBatch:
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set").combine_chunks()]
+        n = np.array([len(x) for x in sets])
+        names, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(codes, np.cumsum(n)[:-1])
+        marks = np.zeros(len(names), bool)
+        first = t.column("label").to_numpy()
+        label = first.copy()
+        for x, y, differ in _fitting(t, [np.frombuffer(_mask(s), np.uint64) for s in sets], label):
+            best = np.argsort(differ / (n[x] + n[y]), kind="stable")
+            for k in range(0, len(best), SIDE):
+                part = best[k : k + SIDE]
+                part = part[label[x[part]] != label[y[part]]]
+                for p, q in zip(x[part].tolist(), y[part].tolist()):
+                    if label[p] == label[q]:
+                        continue
+                    marks[codes[p]] = True
+                    both = int(np.count_nonzero(marks[codes[q]]))
+                    marks[codes[p]] = False
+                    if DEN * both >= NUM * (int(n[p] + n[q]) - both):
+                        low, high = sorted((label[p], label[q]))
+                        label[label == high] = low
+        pairs = np.unique(np.stack([label, first])[:, label != first], axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["x", "y"])
+
+    links = stage(_dealt(rows, [*POINT, "set"]).mapInArrow(_by_task(run), "x long, y long"), "jaccard-connected")
+    unstage(nodes, sets, sizes)
+    return links
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, crowd: int = CROWD, large: int = LARGE) -> DataFrame:
@@ -426,14 +493,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_word
     if len(levels) > 1:
         cells = known.weighed(cells.select("cell", "pivot", "node", "lo", "hi"))
         levels.append(cells)
-    compared = stage(_compare(cells, info), "jaccard-compared")
-    seen = known.measured[0]
-    for m in known.measured[1:]:
-        seen = seen.unionByName(m)
-    pairs = compared.join(seen.select(F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("node")), ["pivot", "node"], "left_anti")
-    pairs = stage(pairs, "jaccard-pairs")
-    known.take(_measure(pairs, taking, n_words))
-    unstage(compared, pairs, info, *levels)
+    near = stage(_compare(cells, info), "jaccard-near")
+    known.take(_connect(near, taking, n_words))
+    unstage(near, info, *levels)
 
     named = classes.join(known.labels.withColumnRenamed("node", "rep"), "rep", "left").select("n", "a", "b", "copies", F.coalesce("label", "rep").alias("component"))
     # documents without shingles, which are alike but not linked, don't meet

@@ -133,6 +133,35 @@ def test_jaccard_cells_keep_every_link(spark):
         assert {r.doc_id: r.component_id for r in jaccard.join(df, crowd=crowd, large=large).collect()} == dict(enumerate(root))
 
 
+def test_jaccard_compares_in_rows_of_points_not_pairs(spark, monkeypatch):
+    # a cell of versions of one text, within and a little out of each other's reach, so that only whole sets tell
+    rng, rows = random.Random(5), []
+    for _ in range(200):
+        w = [f"w{k}" for k in range(120)]
+        for k in rng.sample(range(0, 120, 6), rng.choice([2, 3, 5])):
+            w[k] = f"v{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    sets = [shingles(t) for t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert 1 < len(set(root)) < len(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "id long, text string")
+    info = jaccard.prefixes(df, np.empty(0, np.uint64), 5).select(F.col("id").alias("node"), "n", "mask").cache()
+    cells = df.selectExpr("1L AS cell", "id AS node", "0D AS lo", "1D AS hi", "id AS label", "-1L AS own", "200L AS points", "200L AS others")
+    for side in (2048, 64):
+        monkeypatch.setattr(jaccard, "SIDE", side)
+        near = jaccard._compare(cells, info).cache()
+        assert near.count() <= len(rows)
+        links = jaccard._connect(near, df, 5)
+        assert links.count() < len(rows) * (-(-len(rows) // side)) ** 2
+        found = {r.node: r.label for r in jaccard.components(links).collect()}
+        assert [found.get(i, i) for i in range(len(rows))] == root
+
+
 def test_jaccard_ids_with_several_texts(spark):
     a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
     rows = [(1, a), (2, b), (5, b), (5, a), (7, c)]
