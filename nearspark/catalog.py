@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import vectors as V
 from .operators import cluster, evaluate, exact, graph, ivf
@@ -34,8 +34,14 @@ def _queries(v: DataFrame) -> DataFrame:
     return v.where("row_id % 50 = 0").select(F.col("row_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
+def _six(x: Column) -> Column:
+    """x to six decimals, as the SQL rounds it: small negatives become -0.0, which F.round hasn't."""
+    out = F.round(x, 6)
+    return F.when(out == 0, x * 0.0).otherwise(out)
+
+
 def _round(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, 6) for n in names})
+    return df.withColumns({n: _six(F.col(n)) for n in names})
 
 
 _V = "WITH v AS (SELECT vec_id AS row_id, list_transform(embedding, lambda x: x::DOUBLE * (1 + vec_id % 5)) AS e, label FROM embeddings), q AS (SELECT row_id AS query_id, e AS qe FROM v WHERE row_id % 50 = 0)"
@@ -67,7 +73,7 @@ def _pairs(name: str, column, sql: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         v = _vectors(spark, sf_dir)
         near = v.withColumn("next", F.lead("embedding").over(Window.partitionBy("label").orderBy("row_id"))).where("next is not null")
-        return near.select("row_id", F.round(column(F.col("embedding"), F.col("next")), 6).alias("value"))
+        return near.select("row_id", _six(column(F.col("embedding"), F.col("next"))).alias("value"))
 
     run.__name__ = name
     _query(f"{_V}, p AS (SELECT row_id, e AS qe, lead(e) OVER (PARTITION BY label ORDER BY row_id) AS e FROM v) SELECT row_id, round({sql}, 6) AS value FROM p WHERE e IS NOT NULL")(run)
@@ -82,7 +88,7 @@ _pairs("l2_squared_part", lambda a, b: V.l2_squared_part(a, b, 8, 16), "list_sum
 
 @_query(f"{_V} SELECT row_id, list_transform(e, lambda x: round(x / sqrt(list_inner_product(e, e)), 6)) AS unit FROM v")
 def normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _vectors(spark, sf_dir).select("row_id", F.transform(V.normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return _vectors(spark, sf_dir).select("row_id", F.transform(V.normalize(F.col("embedding")), _six).alias("unit"))
 
 
 @_query(_top(_L2, "row_id % 3 = 0 AND row_id >= 0"))
@@ -129,7 +135,7 @@ def assign_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_A}, u AS (SELECT list_id, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a), m AS (SELECT list_id, i, avg(x) AS x FROM u GROUP BY 1, 2) SELECT list_id, list(round(x, 6) ORDER BY i) AS centroid FROM m GROUP BY list_id")
 def lloyd_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = cluster.lloyd_step(_assigned(spark, sf_dir)[0])
-    return out.select("list_id", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"))
+    return out.select("list_id", F.transform("centroid", _six).alias("centroid"))
 
 
 @_query(f"{_A} SELECT list_id, count(*) AS n FROM a GROUP BY list_id")
@@ -148,7 +154,7 @@ def _residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"{_A}, {_R} SELECT list_id, list(round(lo, 6) ORDER BY i) AS mins, list(round(hi, 6) ORDER BY i) AS maxs FROM b GROUP BY list_id")
 def sq_bounds_per_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = cluster.sq_bounds(_residuals(spark, sf_dir))
-    return b.select("list_id", *[F.transform(x, lambda y: F.round(y, 6)).alias(x) for x in ("mins", "maxs")])
+    return b.select("list_id", *[F.transform(x, _six).alias(x) for x in ("mins", "maxs")])
 
 
 @_query(f"{_A}, {_R} SELECT row_id, list((CASE WHEN lo >= hi THEN 0 ELSE floor(least(greatest((x - lo) * 255 / (hi - lo), 0), 255) + 0.5) END)::INT ORDER BY i) AS code FROM u JOIN b USING (list_id, i) GROUP BY row_id")
@@ -233,7 +239,7 @@ def sq_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _residuals(spark, sf_dir)
     near = r.join(F.broadcast(cluster.sq_bounds(r)), "list_id")
     codes = V.sq_encode(F.col("residual"), F.col("mins"), F.col("maxs"))
-    return near.select("row_id", F.transform(V.sq_decode(codes, F.col("mins"), F.col("maxs")), lambda x: F.round(x, 6)).alias("residual"))
+    return near.select("row_id", F.transform(V.sq_decode(codes, F.col("mins"), F.col("maxs")), _six).alias("residual"))
 
 
 # two results of different widths, and each row's list twice

@@ -167,3 +167,18 @@ def test_balanced_assignment(spark, data):
     for _ in range(2):
         at = (d + 20.0 * np.log(np.maximum(np.bincount(at, minlength=3), 1))).argmin(axis=1)
     assert {r.row_id: r.list_id for r in got.collect()} == dict(enumerate(at.tolist()))
+
+
+def test_rounded_as_sql_rounds(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from nearspark import catalog
+
+    rows = [(i, [1.0, x, -x] + [0.0] * 61, 0) for i, x in enumerate((1e-8, 4e-7, 6e-7, 0.25, 1e-30))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {i: repr(u) for i, u in con.execute(catalog.ORACLES["normalize"]).fetchall()}
+    assert {r.row_id: repr(r.unit) for r in catalog.QUERIES["normalize"](spark, str(tmp_path)).collect()} == want
+    odd = [0.5e-6, 1.5e-6, -2.5e-6, 1.0000005, -0.0, 3.4028234663852886e38, 1e305, -1e305, float("inf"), float("nan")]
+    got = spark.createDataFrame([(x,) for x in odd], "x double").select(catalog._six(F.col("x"))).collect()
+    assert [repr(r[0]) for r in got] == [repr(con.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchone()[0]) for x in odd]
